@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import _store, bpe, jaccard, language, line_dedup, mixing, quality, token_files, topk, toxicity
+from . import _store, bpe, html_text, jaccard, language, line_dedup, mixing, quality, token_files, topk, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -57,6 +57,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_codec, op2_toxicity, op3_jaccard_join, op4_line_dedup, op5_topk, op6_language, op8_mixing, op9_quality, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_codec, op2_toxicity, op3_jaccard_join, op4_line_dedup, op5_topk, op6_language, op7_html_text, op8_mixing, op9_quality, op10_token_files)}
 ORACLES: dict[str, str] = {
     "op5_topk": """
         WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM embeddings),
