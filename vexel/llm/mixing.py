@@ -172,7 +172,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     cut = runs.groupBy("doc_id", "h", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("runs"))
     rows = docs.withColumn("__h", F.xxhash64("text")).alias("d").join(cut.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.__h") == F.col("c.h")))
     words = F.regexp_extract_all("d.text", F.lit(f"({_text.WORD})"), F.lit(1))
-    rows = rows.select("d.*", "c.runs", words.alias("words"))
-    text = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("words", (r["first"] + 1).cast("int"), r["n"].cast("int")))), " ")
+    rows = rows.select("d.*", F.col("c.runs").alias("__runs"), words.alias("__words"))
+    text = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice("__words", (r["first"] + 1).cast("int"), r["n"].cast("int")))), " ")
     rows = rows.withColumn("text", text)
     return (rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows).select(*docs.columns)
