@@ -152,7 +152,8 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFram
     names = spark.createDataFrame([(x["source"], i, x["size"], x["target"]) for i, x in enumerate(planned)], "name string, s bigint, source_size bigint, target double")
     at = at.join(names, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     pieces = at.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    runs = pieces.join(slots(spark, planned, block, seed=seed), ["s", "block"])
+    # The slots grow with the corpus, though Spark sees only the few shard numbers they come from: no broadcast.
+    runs = pieces.join(slots(spark, planned, block, seed=seed).hint("merge"), ["s", "block"])
     low = F.greatest("start", F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
     runs = runs.select("doc_id", "h", "start", "turn", "shard", (low - F.col("start")).alias("first"), (high - low).alias("n")).where("n > 0")
