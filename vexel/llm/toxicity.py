@@ -134,7 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: i
     names = [r.term for r in best]
     idf = np.log((1 + m) / (1 + np.array([r.n for r in best], float))) + 1
     kept = F.filter(words, lambda w: w.isin(names)) if names else F.array().cast("array<string>")
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).select("doc_id", "toxic", kept.alias("words")).collect()
+    # The sample is chosen by ids alone, so that no whole text travels for it.
+    sample = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).distinct()
+    got = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", kept.alias("words")).collect()
     got = sorted(got, key=lambda r: r.doc_id)
     place = {t: i for i, t in enumerate(names)}
     counted = [dict(Counter(place[w] for w in r.words)) for r in got]
