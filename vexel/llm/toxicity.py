@@ -135,8 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: i
     idf = np.log((1 + m) / (1 + np.array([r.n for r in best], float))) + 1
     kept = F.filter(words, lambda w: w.isin(names)) if names else F.array().cast("array<string>")
     # The sample is chosen by ids alone, so that no whole text travels for it.
-    sample = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).distinct()
-    got = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", kept.alias("words")).collect()
+    sample = rows.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).distinct()
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", kept.alias("words")).collect()
     got = sorted(got, key=lambda r: r.doc_id)
     place = {t: i for i, t in enumerate(names)}
     counted = [dict(Counter(place[w] for w in r.words)) for r in got]
@@ -149,13 +149,14 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: i
 
 def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns with score, and the neighbours' doc_ids and similarities as evidence."""
-    source = docs.select(*keep, F.col("text").alias("__text"))
+    read = "text" if "text" in keep else "__text"  # a text passes once
+    source = docs.select(*keep) if read == "text" else docs.select(*keep, F.col("text").alias(read))
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded: TERMS x EXAMPLES weights at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        for part in _text.slices(batches, "__text"):
-            got = [ix.score(t) for t in part.column(part.schema.get_field_index("__text")).to_pylist()]
+        for part in _text.slices(batches, read):
+            got = [ix.score(t) for t in part.column(part.schema.get_field_index(read)).to_pylist()]
             columns = {k: part.column(part.schema.get_field_index(k)) for k in keep}
             columns |= {"score": pa.array([s for s, _ in got], pa.float64()), "near_ids": pa.array([[int(ix.ids[j]) for _, j in f] for _, f in got], pa.list_(pa.int64())), "near_sims": pa.array([[s for s, _ in f] for _, f in got], pa.list_(pa.float64()))}
             yield pa.RecordBatch.from_pydict(columns)
