@@ -3,7 +3,7 @@
 Components become floor(1024 x). A task indexes its rows in blocks: for each dimension the rows by quantised
 value, so that (dimension, level) is a posting segment of one impact for a query. Segments are processed by
 falling impact above the dimension's least one; after each run of segments the rows that can still reach the k-th
-lower bound are counted, and the scan stops only when the others are proven out by the impacts left and the quantisation
+lower bound of distinct ids other than the query's are counted, and the scan stops only when the others are proven out by the impacts left and the quantisation
 error. Possible members are rescored exactly. Queries are taken in runs of at most `QUERIES`, so what is
 broadcast is bounded; each task returns k rows a query, and a ranked window merges them.
 
@@ -31,6 +31,8 @@ class Block:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
         n, d = rows.shape
+        self.by_id = np.argsort(ids, kind="stable")
+        self.distinct, self.first = np.unique(ids[self.by_id], return_index=True)
         low = rows.min(axis=0)
         self.step = np.maximum(1, -(-(rows.max(axis=0) - low + 1) // LEVELS))
         level = (rows - low) // self.step
@@ -56,6 +58,7 @@ class Block:
         ends = np.cumsum(lens)
         acc = np.full(n, float(floor.sum()))
         spread, a = float(slack.sum()), 0
+        others = self.distinct != own
         alive = np.arange(n)
         for r in range(RUNS):
             b = len(order) if r == RUNS - 1 else int(np.searchsorted(ends, ends[-1] * (r + 1) / (2 * RUNS))) + 1
@@ -69,7 +72,9 @@ class Block:
             a = b
             rest = np.zeros(d, np.int64)
             np.maximum.at(rest, self.dim[order[a:]], gain[order[a:]])
-            low = np.partition(acc, n - k - 1)[n - k - 1] if n > k else -np.inf  # one more, as a row may be the query's
+            # Repeated rows of an id and the query's own rows fill no place of the k.
+            bound = np.maximum.reduceat(acc[self.by_id], self.first)[others]
+            low = np.partition(bound, len(bound) - k)[len(bound) - k] if len(bound) >= k else -np.inf
             alive = np.flatnonzero(acc + rest.sum() + spread >= max(low, least))
             if len(alive) <= 4 * k:
                 break
