@@ -3,7 +3,7 @@
 Base statistics come from the whole text. Rows that pass the base rules give a vector of transformed
 statistics; each (lang, source) group of at least `MIN_GROUP` such rows has its own minimum-covariance-
 determinant estimate (concentration steps from a median start, the `H` part with smallest distances
-kept), smaller groups share one over all rows. A row is rejected when its Mahalanobis distance squared
+kept); smaller groups are judged by the estimate of their language, and rows of a language below `MIN_GROUP` by that of all. A row is rejected when its Mahalanobis distance squared
 exceeds `CUT`. Every step is an aggregate with map-side combining, so a hot group is no burden.
 
 Defined results: null and empty texts have no words and fail the base rules; null lang or source is a
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from . import _store
 from ._text import WORD
 
-MIN_GROUP = 200
+#: Five rows a parameter of location and one more: what an estimate in four dimensions needs.
+MIN_GROUP = 25
 H = 0.75
 STEPS = 3
 CUT = 120.0
@@ -76,6 +77,19 @@ def _distance(names: list[str]) -> Column:
     return sum((x * x for x in solved[1:]), solved[0] * solved[0])
 
 
+def _groups(rows: DataFrame, min_group: int) -> DataFrame:
+    """For each (lang, source), as `own`: g, the estimate that judges it, and all estimates its rows serve."""
+    json = {"ignoreNullFields": "false"}
+    n = rows.groupBy("lang", "source").agg(F.sum((~F.col("base_failed")).cast("long")).alias("n"))
+    n = n.select(F.to_json(F.struct("lang", "source"), json).alias("own"), F.to_json(F.struct("lang"), json).alias("tongue"), "n")
+    tongues = n.groupBy("tongue").agg(F.sum("n").alias("n_tongue"), (F.min("n") < min_group).alias("asked"))
+    n = n.join(tongues, "tongue")
+    g = F.when(F.col("n") >= min_group, F.col("own")).when(F.col("n_tongue") >= min_group, F.col("tongue")).otherwise("all")
+    n = n.withColumn("g", g).crossJoin(tongues.agg(F.coalesce(F.min("n_tongue") < min_group, F.lit(False)).alias("rare")))
+    serves = F.array(F.when(F.col("g") == F.col("own"), F.col("own")), F.when(F.col("asked") & (F.col("n_tongue") >= min_group), F.col("tongue")), F.when(F.col("rare"), F.lit("all")))
+    return n.select("own", "g", F.filter(serves, lambda x: x.isNotNull()).alias("serves"))
+
+
 def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, cut: float = CUT) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept, and the distance squared."""
     names, p = list(FLOORS), len(FLOORS)
@@ -86,12 +100,10 @@ def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, cut: float = CUT) -> D
         (F.col("n_repeat_words") / F.greatest("n_words", F.lit(1))).alias("f_repeat"),
     )
     rows = _store.saved(rows, "quality")
-    good = rows.where(~F.col("base_failed"))
-    key = F.struct("lang", "source")
-    large = good.groupBy("lang", "source").agg(F.count("*").alias("n")).where(F.col("n") >= min_group).select(F.to_json(key, {"ignoreNullFields": "false"}).alias("g"), F.lit(True).alias("own"))
-    rows = rows.withColumn("g", F.to_json(key, {"ignoreNullFields": "false"})).join(large, "g", "left").withColumn("g", F.when(F.col("own"), F.col("g")).otherwise("all")).drop("own")
-    good = rows.where(~F.col("base_failed")).select("g", *names)
-    good = good.withColumn("g", F.explode(F.array_distinct(F.array("g", F.lit("all")))))
+    groups = _store.saved(_groups(rows, min_group), "groups")
+    own = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
+    rows = rows.withColumn("own", own).join(groups, "own").drop("own")
+    good = rows.where(~F.col("base_failed")).select(F.explode("serves").alias("g"), *names)
 
     def moments(part: DataFrame) -> DataFrame:
         aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(names)]
