@@ -2,9 +2,9 @@
 
 Base statistics come from the whole text. Rows that pass the base rules give a vector of transformed
 statistics; each (lang, source) group of at least `MIN_GROUP` such rows has its own minimum-covariance-
-determinant estimate (concentration steps from a median start, the `H` part with smallest distances
-kept); smaller groups are judged by the estimate of their language, and rows of a language below `MIN_GROUP` by that of all. A row is rejected when its Mahalanobis distance squared
-exceeds `CUT`. Every step is an aggregate with map-side combining, so a hot group is no burden.
+determinant estimate (concentration steps, the `H` part with smallest distances kept, from `STARTS` starts until the determinant
+falls no more; the least determinant stands; the covariance carries the consistency factor of the part); smaller groups are judged by the estimate of their language, and rows of a language below `MIN_GROUP` by that of all. A row is rejected when its Mahalanobis distance squared
+exceeds `CUT`, a chi-squared quantile. Every step is an aggregate with map-side combining, so a hot group is no burden.
 
 Defined results: null and empty texts have no words and fail the base rules; null lang or source is a
 group value of its own; repeated rows each get a row; other columns are not read; an empty table gives no rows.
@@ -13,6 +13,8 @@ Windows are compared by 64-bit hashes within one text.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +24,35 @@ from ._text import WORD
 #: Five rows a parameter of location and one more: what an estimate in four dimensions needs.
 MIN_GROUP = 25
 H = 0.75
-STEPS = 3
-CUT = 120.0
+#: Starts of an estimate, rows of each but the first, steps at most, and the fall of the log determinant that counts as one.
+STARTS, FEW, STEPS, LEAST_FALL = 4, 10, 30, 1e-4
 #: Least standard deviation of each transformed statistic: rounding and rare events aren't outliers.
 FLOORS = {"f_word": 0.08, "f_symbol": 0.05, "f_line": 0.1, "f_repeat": 0.1}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def chi_squared(x: float, p: int) -> float:
+    """P(chi-squared with p degrees of freedom <= x), p even."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(p // 2))
+
+
+def quantile(q: float, p: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_squared(mid, p) < q else (low, mid)
+    return high
+
+
+def consistency(p: int, h: float) -> float:
+    """What the covariance of the h part nearest to the centre is multiplied by to be that of all, for normal rows."""
+    return h / chi_squared(quantile(h, p), p + 2)
+
+
+#: The 0.999 quantile of chi-squared with one degree of freedom a statistic.
+CUT = quantile(0.999, len(FLOORS))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("words", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
@@ -55,7 +79,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def _factored(estimate: DataFrame, names: list[str]) -> DataFrame:
-    """The estimate with the Cholesky factor of its covariance, floors added, as columns l{i}{j}."""
+    """The estimate with the Cholesky factor of its covariance, floors added, as columns l{i}{j}, and its log determinant."""
     p = len(names)
     for i in range(p):
         for j in range(i + 1):
@@ -63,7 +87,8 @@ def _factored(estimate: DataFrame, names: list[str]) -> DataFrame:
             for k in range(j):
                 s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             estimate = estimate.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(1e-12))) if i == j else s / F.col(f"l{j}{j}"))
-    return estimate.select("g", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    det = sum((2 * F.log(f"l{i}{i}") for i in range(p)), F.lit(0.0))
+    return estimate.select("g", "start", det.alias("det"), *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
 
 
 def _distance(names: list[str]) -> Column:
@@ -103,19 +128,36 @@ def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, cut: float = CUT) -> D
     groups = _store.saved(_groups(rows, min_group), "groups")
     own = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
     rows = rows.withColumn("own", own).join(groups, "own").drop("own")
-    good = rows.where(~F.col("base_failed")).select(F.explode("serves").alias("g"), *names)
+    good = rows.where(~F.col("base_failed")).select(F.explode("serves").alias("g"), "doc_id", *names)
+
+    scale = F.lit(consistency(p, H))
 
     def moments(part: DataFrame) -> DataFrame:
         aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(names)]
-        aggs += [F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)]
-        return part.groupBy("g").agg(*aggs)
-
-    middle = good.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(names)])
-    estimate = middle.select("*", *[F.lit(0.0).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)])
-    estimate = _store.saved(_factored(estimate, names), "estimate")
-    for _ in range(STEPS):
-        far = good.join(estimate, "g").select("g", *names, _distance(names).alias("d"))
-        limit = far.groupBy("g").agg(F.percentile_approx("d", H, 10000).alias("limit"))
-        estimate = _store.saved(_factored(moments(far.join(limit, "g").where(F.col("d") <= F.col("limit"))), names), "estimate")
+        aggs += [(scale * F.covar_pop(names[i], names[j])).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)]
+        return part.groupBy("g", "start").agg(*aggs)
+
+    middle = good.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(names)])
+    middle = _store.saved(middle, "middle")
+    # Start 0 is the median; the others are the moments of about `FEW` rows each, chosen by hashes of their values.
+    first = middle.select("g", F.lit(0).alias("start"), *[f"m{i}" for i in range(p)], *[F.lit(0.0).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)])
+    luck = F.pmod(F.xxhash64("start", "doc_id", *names), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    few = good.join(middle.select("g", "n"), "g").withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(1, STARTS)]))).where(luck * F.col("n") < FEW)
+    going = _store.saved(_factored(first.unionByName(moments(few)), names).withColumn("last", F.lit(float("inf"))), "estimate")
+    ended = None
+    for step in range(STEPS):
+        far = good.join(going, "g").select("g", "start", "last", *names, _distance(names).alias("d"))
+        limit = far.groupBy("g", "start").agg(F.percentile_approx("d", H, 10000).alias("limit"), F.first("last").alias("last"))
+        near = far.drop("last").join(limit.drop("last"), ["g", "start"]).where(F.col("d") <= F.col("limit"))
+        after = _factored(moments(near), names).join(limit.select("g", "start", "last"), ["g", "start"])
+        fell = F.col("det") < F.col("last") - LEAST_FALL
+        after = _store.saved(after.withColumn("going", fell).withColumn("last", F.least("det", "last")), "estimate")
+        done = after.where(~F.col("going") | F.lit(step == STEPS - 1)).drop("going")
+        ended = done if ended is None else ended.unionByName(done)
+        going = after.where("going").drop("going")
+        if going.isEmpty():
+            break
+    fields = [c for c in ended.columns if c != "g"]
+    estimate = ended.groupBy("g").agg(F.min_by(F.struct(*fields), F.struct("det", "start")).alias("e")).select("g", "e.*")
     out = rows.join(estimate, "g", "left").select("doc_id", *BASE, "base_failed", _distance(names).alias("distance"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True)))
