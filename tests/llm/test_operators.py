@@ -119,17 +119,6 @@ def test_toxicity(spark, docs, labels):
     assert all((r.score >= 0.7) == (r.doc_id % 4 == 0) for r in got)
 
 
-def test_neighbours_are_exact():
-    rng = np.random.default_rng(5)
-    rows = [{int(t): int(rng.integers(1, 9)) for t in rng.choice(12, rng.integers(1, 5), False)} for _ in range(700)]
-    ix = toxicity.Index([str(i) for i in range(12)], 1 + rng.random(12), list(range(700)), rows, [0] * 700, 0.1)
-    for q in rows[:40]:
-        t, w = ix.vector(q)
-        s = np.array([round(float(w @ ix.weights[t, j]), 6) for j in range(700)])
-        want = sorted(((x, -j) for j, x in enumerate(s) if x > 0), reverse=True)[: toxicity.NEAREST]
-        assert np.allclose([x for x, _ in ix.nearest(q)], [x for x, _ in want], atol=2e-6)
-
-
 def test_language(docs):
     got = language.predict(docs, language.train(docs)).collect()
     und = {r.doc_id for r in got if r.lang_pred == "und"}

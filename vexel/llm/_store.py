@@ -13,9 +13,11 @@ BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one of ours only where none is set, as in tests."""
+    """The folder the cluster names; a temporary one of ours only where none is set and all runs in one process, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='vexel-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -28,6 +28,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             at = to
 
 
+def free(name: str, taken) -> str:
+    """The name, lengthened until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def string_column(batch: pa.RecordBatch, column: str) -> pa.Array:
     """The column as large_string; nulls stay null."""
     a = batch.column(batch.schema.get_field_index(column))

@@ -1,94 +1,189 @@
-"""Operator 2: toxicity by the nearest labelled examples.
-
-Terms are lower-cased runs of letters. Document frequencies by label are counted over all labelled rows;
-terms whose association with the label is beyond chance (chi-squared above `CHI`) make the vocabulary, at most
-`TERMS` of them. A bounded sample of labelled rows (`EXAMPLES`, by hash of doc_id) is the index: postings by term in
-blocks of `BLOCK` examples with the largest weight of each. A text's neighbours under TF-IDF cosine are exact: blocks
-are read by falling bound, until no bound reaches the k-th similarity. Similarities weigh the votes;
-a logistic curve fitted on leave-one-out votes calibrates them.
-
-Defined results: null and empty texts, and texts without a vocabulary term, get the share of toxic rows among
-such labelled rows; ties of similarity go to the smaller doc_id; without labels of both kinds all scores are the share
-of toxic labels (0 if none); conflicting labels of one doc_id count by the largest; other columns are not read.
+"""Operator 2: toxicity by the nearest labelled examples under TF-IDF cosine.
+
+Terms are lower-cased runs of letters and their first `PREFIXES` letters (prefixes stand for the forms of one stem). A
+bounded sample of labelled rows (`EXAMPLES`, half of each label where there are as many, by hash of doc_id and text) is the
+index, each example with its whole vocabulary. Votes weigh an example by how many labelled rows of its label it stands for. A term weighs (1 + log tf) x idf x relevance: the idf counts all
+documents; the relevance, between `LEAST` and 1, is a supervised term weight, the likelihood ratio of term and label in
+the sample, so that words without bearing on the label count little beside those with one.
+
+Postings lie in blocks of `BLOCK` examples, each term's entry of a block with its largest weight. A text's bound for a block is
+the sum of its weights times these maxima; blocks are read by falling bound, until none can reach the k-th similarity: the
+neighbours are exact. Similarities weigh the votes; a logistic curve fitted on leave-one-out votes of `CALIBRATE`
+examples (a hash sample) calibrates them.
+
+Defined results: null and empty texts, and texts without a known term, get the share of toxic
+rows among the labelled ones; ties of similarity (to six places) go to the smaller doc_id, then the earlier hash of the text; without labels of both kinds all scores are the
+share of toxic labels (0 if none); conflicting labels of one doc_id count by the largest; repeated rows are one example;
+rows with null doc_id are scored but never examples; very long texts count whole; an empty table gives no rows;
+other columns are not read, and kept columns that clash with the results' names are told apart by `names`.
 """
 
 from __future__ import annotations
 
-import heapq
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
 
-TERMS, EXAMPLES, BLOCK, NEAREST, CHI = 256, 20_000, 64, 15, 30.0
-TERM = r"\p{L}+"
+EXAMPLES, CALIBRATE, BLOCK, NEAREST = 2048, 2048, 64, 15
+PREFIXES = (4,)
+#: Relevance of a term: LEAST + the likelihood ratio beyond CHANCE, in units of SURE, at most 1.
+LEAST, CHANCE, SURE = 0.02, 10.0, 40.0
+#: Blocks read before the first look at the bound; each round reads twice as many.
+FIRST = 4
+#: Terms of at least this share of the examples have a dense row instead of postings.
+OFTEN = 0.08
+TERM = re.compile(r"[^\W\d_]+")
+#: Distinct words kept in a worker before it starts afresh. Bounds memory only.
+CACHE_WORDS = 400_000
+
+
+def forms(word: str) -> list[str]:
+    """The terms of a word: itself, and its shorter beginnings marked by a hyphen."""
+    return [word, *(word[:n] + "-" for n in PREFIXES if len(word) >= n)]
+
+
+class Words(dict):
+    """Numbers of the words met, and their terms' numbers (-1: unknown), a row for each."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.known, self.new, self.rows = terms, [], np.zeros((0, 1 + len(PREFIXES)), np.int64)
+
+    def __missing__(self, word: str) -> int:
+        got = [self.known.get(t, -1) for t in forms(word)]
+        self.new.append(got + [-1] * (1 + len(PREFIXES) - len(got)))
+        self[word] = len(self)
+        return len(self) - 1
+
+    def terms(self, words: list[str]) -> np.ndarray:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self.rows = self.rows[:0]
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            self.rows, self.new = np.concatenate([self.rows, np.array(self.new)]), []
+        out = self.rows[at].ravel()
+        return out[out >= 0]
+
+
+class Vocabulary:
+    """Numbers of known terms; the terms of a word are looked up once in a worker."""
+
+    def __init__(self, terms: list[str]):
+        self.__setstate__({t: i for i, t in enumerate(terms)})
+
+    def __getstate__(self):
+        return self.terms
+
+    def __setstate__(self, terms):
+        self.terms, self.words = terms, Words(terms)
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a text, ascending, and how often each occurs."""
+        got = np.sort(self.words.terms(TERM.findall(text.lower()))) if text else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.diff(got, prepend=-1))
+        return got[first], np.diff(first, append=len(got))
 
 
 class Index:
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], rows: list[dict[int, int]], labels: list[int], prior: float):
-        self.terms, self.idf, self.prior = {t: i for i, t in enumerate(terms)}, idf, prior
-        kept = [i for i, r in enumerate(rows) if r]
-        self.ids, self.labels = np.array([ids[i] for i in kept], np.int64), np.array([labels[i] for i in kept], np.float64)
-        n = -(-max(len(kept), 1) // BLOCK)
-        self.weights = np.zeros((max(len(terms), 1), n * BLOCK), np.float32)
-        for j, i in enumerate(kept):
-            t, w = self.vector(rows[i])
-            self.weights[t, j] = w
-        self.most = self.weights.reshape(-1, n, BLOCK).max(axis=2)
+    def __init__(self, terms: list[str], idf: np.ndarray, relevance: np.ndarray, ids: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float):
+        self.vocabulary, self.weight, self.prior, n = Vocabulary(terms), idf * relevance, prior, len(rows)
+        share = float(labels.mean()) if n else 0.0
+        #: Labelled rows that an example of each label stands for, relative to the mean.
+        self.stands = np.array([(1 - prior) / (1 - share), prior / share]) if 0 < share < 1 else np.ones(2)
+        vectors = [self.vector(*r) for r in rows]
+        # Examples with the same weightiest term stand together, which tightens the bounds.
+        top = np.array([int(t[w.argmax()]) if len(t) else -1 for t, w in vectors], np.int64)
+        order = np.lexsort((np.arange(n), top))
+        self.ids, self.labels = np.asarray(ids, np.int64)[order], np.asarray(labels, np.float64)[order]
+        self.place = np.empty(n, np.int64)  # of the examples as given
+        self.place[order] = np.arange(n)
+        self.blocks = -(-max(n, 1) // BLOCK)
+        term = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)])
+        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
+        at = np.repeat(np.arange(n), [len(vectors[i][0]) for i in order])
+        by = np.argsort(term, kind="stable")
+        # Terms of many examples have a dense row, the others postings.
+        often = np.bincount(term, minlength=len(terms)) >= max(n * OFTEN, 1)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK), np.float32)
+        mine = often[term]
+        self.dense[self.row[term[mine]], at[mine]] = weight[mine]
+        by = by[~often[term[by]]]
+        self.at, self.w = at[by].astype(np.int32), weight[by].astype(np.float32)
+        key = term[by] * self.blocks + at[by] // BLOCK
+        entry, self.start = np.unique(key, return_index=True)
+        self.size = np.diff(np.append(self.start, len(key)))
+        self.block = (entry % self.blocks).astype(np.int16 if self.blocks < 1 << 15 else np.int64)
+        self.most = np.maximum.reduceat(self.w, self.start) if len(key) else np.zeros(0)
+        self.first = np.searchsorted(entry // self.blocks, np.arange(len(terms) + 1))
         self.a, self.b = 1.0, 0.0
-        self.pattern = None
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[i] for i in t])) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum())
-
-    def nearest(self, counts: dict[int, int], k: int = NEAREST, without: int = -1) -> list[tuple[float, int]]:
-        """The k most similar examples (similarity, place), exact; `without` is left out."""
-        t, w = self.vector(counts)
-        bound = w @ self.most[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] + 1e-6 < best[0][0]):
-                break
-            s = w @ self.weights[t, b * BLOCK : (b + 1) * BLOCK]
-            for i in np.flatnonzero(s > 0):
-                j = int(b * BLOCK + i)
-                item = (round(float(s[i]), 6), -j)
-                if j == without:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-        return [(s, -j) for s, j in sorted(best, reverse=True)]
-
-    def vote(self, found: list[tuple[float, int]]) -> float:
-        w = np.array([1 / (1.05 - s) for s, _ in found])
-        return float((w * self.labels[[j for _, j in found]]).sum() + self.prior) / float(w.sum() + 1)
-
-    def calibrate(self, rows: list[dict[int, int]]) -> None:
-        """Fit the curve on votes that leave the row itself out."""
-        x, y = [], []
-        for j, r in enumerate([r for r in rows if r][:4000]):
-            found = self.nearest(r, without=j)
-            if found:
-                x.append(self._logit(self.vote(found)))
-                y.append(self.labels[j])
-        x, y = np.array(x), np.array(y)
+
+    def vector(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(n)) * self.weight[t]
+        return t, w / np.sqrt((w * w).sum()) if len(t) else w
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities and places of the k most similar examples, exact; `without` is left out."""
+        row = self.row[t]
+        common = np.asarray(w[row >= 0], np.float32) @ self.dense[row[row >= 0]]
+        t, w = t[row < 0], w[row < 0]
+        entry, ends = _text.ragged(self.first[t], self.first[t + 1] - self.first[t])
+        mine = np.repeat(w, np.diff(ends))
+        block = self.block[entry]
+        bound = np.bincount(block, mine * self.most[entry], minlength=self.blocks) + common.reshape(-1, BLOCK).max(axis=1)
+        order = np.argsort(-bound, kind="stable")
+        rank = np.empty(self.blocks, np.int16 if self.blocks < 1 << 15 else np.int64)
+        rank[order] = np.arange(self.blocks)
+        by = np.argsort(rank[block], kind="stable")
+        entry, mine = entry[by], mine[by]
+        cut = np.searchsorted(rank[block[by]], np.arange(self.blocks + 1))
+        sims, places, at, step, least = np.zeros(0), np.zeros(0, np.int64), 0, FIRST, 0.0
+        while at < self.blocks and bound[order[at]] > 0 and bound[order[at]] + 1e-6 >= least:
+            part = slice(cut[at], cut[min(at + step, self.blocks)])
+            size = self.size[entry[part]]
+            post, _ = _text.ragged(self.start[entry[part]], size)
+            s = common + np.bincount(self.at[post], np.repeat(mine[part], size) * self.w[post], minlength=len(common))
+            new = (order[at : at + step, None] * BLOCK + np.arange(BLOCK)).ravel()
+            s = np.round(s[new], 6)
+            good = (s > 0) & (s >= least) & (new != without)
+            sims, places = np.concatenate([sims, s[good]]), np.concatenate([places, new[good]])
+            if len(sims) >= k:
+                least = np.partition(sims, len(sims) - k)[len(sims) - k]
+                good = sims >= least
+                sims, places = sims[good], places[good]
+            at, step = at + step, step * 2
+        best = np.lexsort((places, self.ids[places], -sims))[:k]
+        return sims[best], places[best]
+
+    def vote(self, sims: np.ndarray, places: np.ndarray) -> float:
+        w = self.stands[self.labels[places].astype(int)] / (1.05 - sims)
+        return float((w * self.labels[places]).sum() + self.prior) / float(w.sum() + 1)
+
+    def calibrate(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Fit the curve on votes of the first examples given, each without itself."""
+        x, y, c = [], [], []
+        for j, r in enumerate(rows):
+            if len(r[0]):
+                found = self.nearest(*self.vector(*r), without=self.place[j])
+                if len(found[0]):
+                    x.append(self._logit(self.vote(*found)))
+                    y.append(self.labels[self.place[j]])
+                    c.append(self.stands[int(y[-1])])
+        x, y, c = np.array(x), np.array(y), np.array(c)
         if len(set(y.tolist())) < 2:
             return
         a, b = 1.0, 0.0
         for _ in range(50):  # Newton steps with a small pull to (1, 0)
             p = 1 / (1 + np.exp(-(a * x + b)))
-            g = np.array([((p - y) * x).sum() + (a - 1), (p - y).sum() + b])
-            v = p * (1 - p)
+            g = np.array([(c * (p - y) * x).sum() + (a - 1), (c * (p - y)).sum() + b])
+            v = c * p * (1 - p)
             h = np.array([[(v * x * x).sum() + 1, (v * x).sum()], [(v * x).sum(), v.sum() + 1]])
             step = np.linalg.solve(h, g)
             a, b = a - step[0], b - step[1]
@@ -100,66 +195,112 @@ class Index:
         p = min(max(p, 1e-4), 1 - 1e-4)
         return float(np.log(p / (1 - p)))
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        if not text or not self.terms:
-            return {}
-        if self.pattern is None:
-            self.pattern = regex.compile(TERM)
-        got = Counter(self.pattern.findall(text.lower()))
-        return {self.terms[t]: n for t, n in got.items() if t in self.terms}
+    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The score, and the neighbours' similarities and places."""
+        t, n = self.vocabulary.counts(text)
+        sims, places = self.nearest(*self.vector(t, n)) if len(t) else (np.zeros(0), np.zeros(0, np.int64))
+        if not len(sims):
+            return self.prior, sims, places
+        return 1 / (1 + float(np.exp(-(self.a * self._logit(self.vote(sims, places)) + self.b)))), sims, places
+
+
+def relevance(n: np.ndarray, x: np.ndarray, rows: int, toxic: int) -> np.ndarray:
+    """Of terms in n rows, x of them toxic."""
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return seen * np.log(np.maximum(seen, 1e-9) / expected)
+
+    share = toxic / rows
+    ratio = part(x, n * share) + part(n - x, n * (1 - share))
+    rest, bad = rows - n, toxic - x
+    some = rest > 0
+    ratio[some] += (part(bad, np.maximum(rest * share, 1e-9)) + part(rest - bad, np.maximum(rest * (1 - share), 1e-9)))[some]
+    return LEAST + (1 - LEAST) * np.clip((2 * ratio - CHANCE) / SURE, 0, 1)
+
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        c = self.counts(text)
-        found = self.nearest(c) if c else []
-        if not found:
-            return self.prior, []
-        return 1 / (1 + float(np.exp(-(self.a * self._logit(self.vote(found)) + self.b)))), found
+def fitted(ids: np.ndarray, texts: list[dict[str, int]], labels: np.ndarray, prior: float, frequency, documents: int, calibrate: int = CALIBRATE) -> Index:
+    """An index of examples in hash order, given as term counts. `frequency` gives the documents that hold each of a list of terms."""
+    terms = sorted({t for x in texts for t in x})
+    place = {t: i for i, t in enumerate(terms)}
+    rows = []
+    for x in texts:
+        t = np.fromiter((place[s] for s in x), np.int64, len(x))
+        by = np.argsort(t)
+        rows.append((t[by], np.fromiter(x.values(), np.int64, len(x))[by]))
+    held = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)])
+    bad = np.repeat(labels, [len(t) for t, _ in rows])
+    n, x = np.bincount(held, minlength=len(terms)), np.bincount(held, bad, minlength=len(terms))
+    idf = np.log((1 + documents) / (1 + frequency(terms))) + 1
+    index = Index(terms, idf, relevance(n.astype(float), x, len(ids), int(labels.sum())), ids, rows, labels, prior)
+    index.calibrate(rows[:calibrate])
+    return index
 
 
-def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
+def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     """Learn from the rows of `docs` with a label whose crc32 of doc_id mod 3 is not 1."""
+    spark = docs.sparkSession
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, "doc_id")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1))
-    total = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    clean, bad = total.get(0, 0), total.get(1, 0)
-    share = bad / max(clean + bad, 1)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    # The sample is chosen by ids and hashes alone, so that no whole text travels for it.
+    marked = rows.select("doc_id", "h").join(marks, "doc_id").distinct()
+    sizes = {int(bool(r.toxic)): r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    clean, bad = sizes.get(0, 0), sizes.get(1, 0)
+    prior = bad / max(clean + bad, 1)
     if not clean or not bad:
-        return Index([], np.zeros(0), [], [], [], share)
-    df = rows.select("toxic", F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.sum(F.col("toxic").cast("long")).alias("x"), F.count("*").alias("n"))
-    n, x, m = F.col("n").cast("double"), F.col("x").cast("double"), float(clean + bad)
-    chi = m * F.pow(x * m - n * bad, 2) / (n * float(bad) * float(clean) * (m - n + 0.5))
-    best = df.where(x * m > n * bad).withColumn("chi", chi).where(F.col("chi") > CHI).orderBy(F.desc("chi"), "term").limit(terms).collect()
-    names = [r.term for r in best]
-    idf = np.log((1 + m) / (1 + np.array([r.n for r in best], float))) + 1
-    kept = F.filter(words, lambda w: w.isin(names)) if names else F.array().cast("array<string>")
-    # The sample is chosen by ids alone, so that no whole text travels for it.
-    sample = rows.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).distinct()
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", kept.alias("words")).collect()
-    got = sorted(got, key=lambda r: r.doc_id)
-    place = {t: i for i, t in enumerate(names)}
-    counted = [dict(Counter(place[w] for w in r.words)) for r in got]
-    empty = [r.toxic for r, c in zip(got, counted, strict=True) if not c]
-    prior = (sum(empty) + share) / (len(empty) + 1)
-    index = Index(names, idf, [r.doc_id for r in got], counted, [r.toxic for r in got], prior)
-    index.calibrate(counted)
-    return index
+        return Index([], np.zeros(0), np.zeros(0), np.zeros(0, np.int64), [], np.zeros(0), prior)
+    most = max(examples // 2, examples - bad), max(examples // 2, examples - clean)
+    order = F.xxhash64("doc_id", "h"), "doc_id", "h"
+    parts = [marked.where(F.col("toxic") == y).orderBy(*order).limit(most[y]) for y in (0, 1)]
+    got = parts[0].unionByName(parts[1]).orderBy(*order).collect()
+    y = np.array([r.toxic for r in got], np.float64)
+    chosen = spark.createDataFrame([(r.doc_id, r.h) for r in got], "doc_id bigint, h bigint")
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _text.slices(batches, "text"):
+            made = [Counter(f for w in TERM.findall(t.lower()) for f in forms(w)) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "h": part.column(1), "terms": pa.array([list(c) for c in made], pa.list_(pa.string())), "n": pa.array([list(c.values()) for c in made], pa.list_(pa.int32()))})
+
+    counted = {(d, h): dict(zip(t, n)) for d, h, t, n in zip(*(c.to_pylist() for c in texts.mapInArrow(count, "doc_id bigint, h bigint, terms array<string>, n array<int>").toArrow().columns), strict=True)}
+
+    def frequency(terms: list[str]) -> np.ndarray:
+        """Over all documents: each task adds up its own, and sends one row a term at most."""
+        shared = spark.sparkContext.broadcast(Vocabulary(terms))  # of the sample alone: bounded
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            sums = np.zeros(len(known.terms), np.int64)
+            for part in _text.slices(batches, "text"):
+                for text in part.column(0).to_pylist():
+                    sums[known.counts(text)[0]] += 1
+            some = np.flatnonzero(sums)
+            for a in range(0, len(some), 50_000):
+                yield pa.RecordBatch.from_pydict({"t": some[a : a + 50_000], "n": sums[some[a : a + 50_000]]})
+
+        sums = rows.select("text").mapInArrow(add, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(len(terms))
+        out[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+        return out
+
+    return fitted(np.array([r.doc_id for r in got]), [counted[r.doc_id, r.h] for r in got], y, prior, frequency, docs.count())
 
 
-def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("score", "near_ids", "near_sims")) -> DataFrame:
     """`keep` columns with score, and the neighbours' doc_ids and similarities as evidence."""
-    read = "text" if "text" in keep else "__text"  # a text passes once
+    read = "text" if "text" in keep else _text.free("__text", keep)  # a text passes once
     source = docs.select(*keep) if read == "text" else docs.select(*keep, F.col("text").alias(read))
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded: TERMS x EXAMPLES weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for part in _text.slices(batches, read):
             got = [ix.score(t) for t in part.column(part.schema.get_field_index(read)).to_pylist()]
             columns = {k: part.column(part.schema.get_field_index(k)) for k in keep}
-            columns |= {"score": pa.array([s for s, _ in got], pa.float64()), "near_ids": pa.array([[int(ix.ids[j]) for _, j in f] for _, f in got], pa.list_(pa.int64())), "near_sims": pa.array([[s for s, _ in f] for _, f in got], pa.list_(pa.float64()))}
+            columns[names[0]] = pa.array([s for s, _, _ in got], pa.float64())
+            columns[names[1]] = pa.array([ix.ids[p] for _, _, p in got], pa.list_(pa.int64()))
+            columns[names[2]] = pa.array([s for _, s, _ in got], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_pydict(columns)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep) + ", score double, near_ids array<bigint>, near_sims array<double>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep) + f", `{names[0]}` double, `{names[1]}` array<bigint>, `{names[2]}` array<double>"
     return source.mapInArrow(run, schema)
