@@ -38,10 +38,10 @@ LEAST, CHANCE, SURE = 0.02, 10.0, 40.0
 #: Blocks read before the first look at the bound; each round reads twice as many.
 FIRST = 4
 #: Terms of at least this share of the examples have a dense row instead of postings.
-OFTEN = 0.08
+OFTEN = 0.015
 TERM = re.compile(r"[^\W\d_]+")
-#: Distinct words kept in a worker before it starts afresh. Bounds memory only.
-CACHE_WORDS = 400_000
+#: Texts whose products with the dense rows are made together.
+TOGETHER = 64
 
 
 def forms(word: str) -> list[str]:
@@ -49,44 +49,35 @@ def forms(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in PREFIXES if len(word) >= n)]
 
 
-class Words(dict):
-    """Numbers of the words met, and their terms' numbers (-1: unknown), a row for each."""
+#: ASCII characters other than letters part words.
+_APART = {i: " " for i in range(128) if not chr(i).isalpha()}
 
-    def __init__(self, terms: dict[str, int]):
-        self.known, self.new, self.rows = terms, [], np.zeros((0, 1 + len(PREFIXES)), np.int64)
 
-    def __missing__(self, word: str) -> int:
-        got = [self.known.get(t, -1) for t in forms(word)]
-        self.new.append(got + [-1] * (1 + len(PREFIXES) - len(got)))
-        self[word] = len(self)
-        return len(self) - 1
-
-    def terms(self, words: list[str]) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-            self.rows = self.rows[:0]
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            self.rows, self.new = np.concatenate([self.rows, np.array(self.new)]), []
-        out = self.rows[at].ravel()
-        return out[out >= 0]
+def words(text: str) -> list[str]:
+    """The lower-cased runs of letters of a text."""
+    low = text.lower()
+    return low.translate(_APART).split() if low.isascii() else TERM.findall(low)
 
 
 class Vocabulary:
-    """Numbers of known terms; the terms of a word are looked up once in a worker."""
+    """Numbers of known terms."""
 
     def __init__(self, terms: list[str]):
-        self.__setstate__({t: i for i, t in enumerate(terms)})
-
-    def __getstate__(self):
-        return self.terms
-
-    def __setstate__(self, terms):
-        self.terms, self.words = terms, Words(terms)
+        self.terms = {t: i for i, t in enumerate(terms)}
+        # Beginnings without their hyphen, by length, so that a word's is looked up without making a string of it.
+        self.starts = [{t[:-1]: i for t, i in self.terms.items() if len(t) == n + 1 and t[-1] == "-"} for n in PREFIXES]
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Known terms of a text, ascending, and how often each occurs."""
-        got = np.sort(self.words.terms(TERM.findall(text.lower()))) if text else np.zeros(0, np.int64)
+        if not text:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found, get = words(text), self.terms.get
+        got = [get(w, -1) for w in found]
+        for n, known in zip(PREFIXES, self.starts, strict=True):
+            get = known.get
+            got += [get(w[:n], -1) for w in found]
+        got = np.sort(np.array(got, np.int64))
+        got = got[np.searchsorted(got, 0) :]
         first = np.flatnonzero(np.diff(got, prepend=-1))
         return got[first], np.diff(first, append=len(got))
 
@@ -129,10 +120,11 @@ class Index:
         w = (1 + np.log(n)) * self.weight[t]
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEAREST, without: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and places of the k most similar examples, exact; `without` is left out."""
         row = self.row[t]
-        common = np.asarray(w[row >= 0], np.float32) @ self.dense[row[row >= 0]]
+        if common is None:
+            common = self.products([(t, w)])[0]
         t, w = t[row < 0], w[row < 0]
         entry, ends = _text.ragged(self.first[t], self.first[t + 1] - self.first[t])
         mine = np.repeat(w, np.diff(ends))
@@ -162,6 +154,14 @@ class Index:
         best = np.lexsort((places, self.ids[places], -sims))[:k]
         return sims[best], places[best]
 
+    def products(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the terms with dense rows add to the similarities of each vector with all examples."""
+        q = np.zeros((len(vectors), len(self.dense)), np.float32)
+        for i, (t, w) in enumerate(vectors):
+            row = self.row[t]
+            q[i, row[row >= 0]] = w[row >= 0]
+        return q @ self.dense
+
     def vote(self, sims: np.ndarray, places: np.ndarray) -> float:
         w = self.stands[self.labels[places].astype(int)] / (1.05 - sims)
         return float((w * self.labels[places]).sum() + self.prior) / float(w.sum() + 1)
@@ -195,13 +195,18 @@ class Index:
         p = min(max(p, 1e-4), 1 - 1e-4)
         return float(np.log(p / (1 - p)))
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """The score, and the neighbours' similarities and places."""
-        t, n = self.vocabulary.counts(text)
-        sims, places = self.nearest(*self.vector(t, n)) if len(t) else (np.zeros(0), np.zeros(0, np.int64))
-        if not len(sims):
-            return self.prior, sims, places
-        return 1 / (1 + float(np.exp(-(self.a * self._logit(self.vote(sims, places)) + self.b)))), sims, places
+    def score(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each text the score, and the neighbours' similarities and places."""
+        out = []
+        for a in range(0, len(texts), TOGETHER):
+            vectors = [self.vector(*self.vocabulary.counts(t)) for t in texts[a : a + TOGETHER]]
+            for (t, w), common in zip(vectors, self.products(vectors), strict=True):
+                sims, places = self.nearest(t, w, common=common) if len(t) else (np.zeros(0), np.zeros(0, np.int64))
+                p = self.prior
+                if len(sims):
+                    p = 1 / (1 + float(np.exp(-(self.a * self._logit(self.vote(sims, places)) + self.b))))
+                out.append((p, sims, places))
+        return out
 
 
 def relevance(n: np.ndarray, x: np.ndarray, rows: int, toxic: int) -> np.ndarray:
@@ -259,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _text.slices(batches, "text"):
-            made = [Counter(f for w in TERM.findall(t.lower()) for f in forms(w)) for t in part.column(2).to_pylist()]
+            made = [Counter(f for w in words(t) for f in forms(w)) for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "h": part.column(1), "terms": pa.array([list(c) for c in made], pa.list_(pa.string())), "n": pa.array([list(c.values()) for c in made], pa.list_(pa.int32()))})
 
     counted = {(d, h): dict(zip(t, n)) for d, h, t, n in zip(*(c.to_pylist() for c in texts.mapInArrow(count, "doc_id bigint, h bigint, terms array<string>, n array<int>").toArrow().columns), strict=True)}
@@ -295,7 +300,7 @@ def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",), na
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for part in _text.slices(batches, read):
-            got = [ix.score(t) for t in part.column(part.schema.get_field_index(read)).to_pylist()]
+            got = ix.score(part.column(part.schema.get_field_index(read)).to_pylist())
             columns = {k: part.column(part.schema.get_field_index(k)) for k in keep}
             columns[names[0]] = pa.array([s for s, _, _ in got], pa.float64())
             columns[names[1]] = pa.array([ix.ids[p] for _, _, p in got], pa.list_(pa.int64()))
