@@ -43,7 +43,8 @@ def string_column(batch: pa.RecordBatch, column: str) -> pa.Array:
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column on end, and the row bounds within them. Null counts as empty."""
-    a = column.cast(pa.large_string()).fill_null("") if column.null_count else column.cast(pa.large_string())
+    kind = pa.large_binary() if pa.types.is_large_binary(column.type) else pa.large_string()
+    a = column.cast(kind).fill_null("") if column.null_count else column.cast(kind)
     if not len(a):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
