@@ -10,12 +10,14 @@ A task writes under a name of its own and the manifest names the files of the ta
 lost executors and repeated attempts leave no wrong rows.
 
 Defined results: null text counts as empty (one end id); a null doc_id comes first; rows with equal
-doc_id are ordered by their text, repeated rows all stay; other columns of the input are not read; an
+doc_id are ordered by a hash of their text, repeated rows all stay; a very long text goes on over as many sequences
+and batches as it needs; other columns of the input are not read; an
 empty table gives no files and no rows.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,13 +30,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _store, _text
 from .bpe import RECENT, WordTable
 
 SEQUENCE = 2048
 SEQUENCES_A_BATCH = 64
-#: How byte-level vocabularies of this family part a text before merging.
+#: How byte-level vocabularies of this family part a text before merging; and the same for texts of `PLAIN` characters alone.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = r"[\t-\r -~À-ÖØ-öø-ÿ]*"
+PLAIN_PARTS = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
 
 class ByteBpe:
@@ -46,9 +50,10 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.pattern = regex.compile(PARTS)
+        self.pattern, self.plain, self.plain_parts = regex.compile(PARTS), re.compile(PLAIN), re.compile(PLAIN_PARTS)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.table = WordTable(self._encode_parts)
 
     def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +68,11 @@ class ByteBpe:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if (not text.isascii() and RECENT.search(text)) or any(s in text for s in self.special):
+            plain = self.plain.fullmatch(text) is not None
+            if (not plain and RECENT.search(text)) or any(s in text for s in self.special):
                 whole[i] = self.tokenizer.encode(text, add_special_tokens=False).ids
                 continue
-            got = self.pattern.findall(text)
+            got = (self.plain_parts if plain else self.pattern).findall(text)
             counts[i] = len(got)
             parts += got
         ids, lens = self.table.ids(parts)
@@ -161,24 +167,35 @@ class TokenFile:
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, length: int = SEQUENCE, text: str = "text", doc_id: str = "doc_id") -> list[dict]:
     """Write all documents; returns the manifest in stream order: file, start, n_ids, n_docs."""
+    spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
+    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("text"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(tokenizer)
+        for b in _text.slices(batches, "text"):
+            ids, bounds = bpe.encode(b.column(2).to_pylist())
+            ids = np.insert(ids, bounds[1:], end_id).astype(bpe.dtype)
+            data, at = ids.view(np.uint8), (bounds + np.arange(len(bounds))) * bpe.dtype.itemsize
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "h": b.column(1), "ids": pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())})
+
+    # The ids are written before they are dealt to ranges: they are fewer bytes than the text, and the ranges' sampling doesn't encode.
+    rows = _store.saved(source.mapInArrow(encode, "doc_id bigint, h bigint, ids binary"), "ids")
     # Ranges of doc_id; the hash only parts equal ids, so that one id with many rows can't fill one task.
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), body.alias("text")).repartitionByRange("doc_id", F.xxhash64("text"))
-    rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, out = codec(tokenizer), None
+        dtype, out = codec(tokenizer).dtype, None
         part = TaskContext.get().partitionId()
-        for b in _text.slices(batches, "text"):
-            ids, bounds = bpe.encode(b.column(1).to_pylist())
-            ids = np.insert(ids, bounds[1:], end_id)
-            bounds = bounds + np.arange(len(bounds))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            data, bounds = _text.flat_bytes(b.column(1).cast(pa.large_binary()))
             if out is None:
-                dtype = np.dtype(np.uint16 if bpe.size <= 1 << 16 else np.uint32)
                 out = Writer(folder, f"tokens-{part:06d}-{uuid.uuid4().hex[:12]}", dtype, length)
-            out.add(b.column(0), ids, bounds)
+            out.add(b.column(0), np.ascontiguousarray(data).view(dtype), bounds // dtype.itemsize)
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{folder}/{out.name}.arrow"], "n_ids": [out.n_ids], "n_docs": [out.n_docs]})
@@ -189,9 +206,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, length:
     for r in sorted(made, key=lambda r: r["part"]):
         manifest.append({"file": r["file"], "start": start, "n_ids": r["n_ids"], "n_docs": r["n_docs"]})
         start += r["n_ids"]
+    _store.dropped(rows)
+    _swept(folder, manifest)
     return manifest
 
 
+def _swept(folder: str, manifest: list[dict]) -> None:
+    """Delete the files of attempts that didn't count."""
+    fs, path = filesystem(folder)
+    keep = {m["file"].rsplit("/", 1)[1].removesuffix(".arrow") for m in manifest}
+    for f in fs.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)):
+        if f.base_name.startswith("tokens-") and f.base_name.split(".")[0] not in keep:
+            fs.delete_file(f.path)
+
+
 def documents_of(file: str) -> Iterator[tuple[pa.Array, np.ndarray, list[np.ndarray]]]:
     """The documents of a file in order: doc_ids, first positions, and each one's ids."""
     stream, held, at = TokenFile(file).stream(), np.zeros(0, np.uint16), 0
