@@ -18,8 +18,8 @@ SEED, PER_CENTROID, SUB, OPQ_SAMPLE = 12345, 256, 256, 65_536
 
 def sample(vectors: DataFrame, n: int) -> np.ndarray:
     """At most n rows, in an order that depends on the seed and id alone."""
-    rows = vectors.orderBy(F.md5(F.concat_ws(":", F.lit(SEED), "id")), "id").limit(n).select("vec").collect()
-    return np.array([r.vec for r in rows], np.float64)
+    rows = vectors.orderBy(F.md5(F.concat_ws(":", F.lit(SEED), "id")), "id").limit(n).select("vec").toArrow()
+    return search.matrix(rows.column(0).combine_chunks().cast(pa.list_(rows.schema.field(0).type.value_type)))
 
 
 def assign(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
