@@ -2,9 +2,11 @@
 
 Words of many rows are gathered into one flat symbol array and merged in batched numpy rounds: each
 round finds every adjacent pair's rank by binary search over the sorted pair keys, takes each word's
-lowest rank, and merges its occurrences from the left. Words already seen by the worker are looked up.
+lowest rank, and merges its occurrences from the left; after the first round only the pairs beside a merge are looked up again. Words
+already seen by the worker are looked up.
 
-Defined results: null text counts as empty and has no ids; strings of special tokens in a text
+Defined results: null text counts as empty and has no ids; an empty table gives no rows; very long texts and words are
+taken whole (a batch holds one such text, a round reads a word once); strings of special tokens in a text
 are those tokens; ties between equal pairs go to the left; repeated rows get equal results; columns of
 the input other than the text and the kept ones are dropped, so clashing names do no harm.
 """
@@ -68,12 +70,12 @@ class Merger:
         done_lens: list[np.ndarray] = []
         word = np.arange(len(lens))
         symbols, lens = symbols.astype(np.int64), lens.astype(np.int64)
+        of = np.repeat(np.arange(len(lens)), lens)
+        rank = np.full(len(symbols), self.none)  # of each symbol with the next one of its word
+        if len(symbols) > 1:
+            same = of[1:] == of[:-1]
+            rank[:-1][same] = self.pair_ranks(symbols[:-1][same], symbols[1:][same])
         while len(word):
-            of = np.repeat(np.arange(len(lens)), lens)
-            rank = np.full(len(symbols), self.none)
-            if len(symbols) > 1:
-                same = of[1:] == of[:-1]
-                rank[:-1][same] = self.pair_ranks(symbols[:-1][same], symbols[1:][same])
             begins = np.cumsum(lens) - lens
             lowest = np.full(len(lens), self.none)
             full = lens > 0
@@ -89,18 +91,24 @@ class Merger:
                 if not len(word):
                     break
                 of = np.repeat(np.arange(len(lens)), lens)
-            hit = rank == lowest[of]
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero(rank == lowest[of])
             # In a run of overlapping hits every second one counts, from the left.
             fresh = np.ones(len(at), bool)
             fresh[1:] = (at[1:] != at[:-1] + 1) | (of[at[1:]] != of[at[:-1]])
             run = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
             at = at[(at - run) % 2 == 0]
             symbols[at] = self.made[rank[at]]
-            gone = np.zeros(len(symbols), bool)
-            gone[at + 1] = True
+            kept = np.ones(len(symbols), bool)
+            kept[at + 1] = False
             lens = lens - np.bincount(of[at], minlength=len(lens))
-            symbols = symbols[~gone]
+            symbols, rank, of = symbols[kept], rank[kept], of[kept]
+            # Only the pairs on either side of a merge have new ranks.
+            at = at - np.arange(len(at))
+            near = np.concatenate([at, at[at > 0] - 1])
+            after = np.minimum(near + 1, len(symbols) - 1)
+            same = (near < after) & (of[near] == of[after])
+            rank[near[~same]] = self.none
+            rank[near[same]] = self.pair_ranks(symbols[near[same]], symbols[after[same]])
         words = np.concatenate(done_words) if done_words else np.zeros(0, np.int64)
         out_lens = np.concatenate(done_lens) if done_lens else np.zeros(0, np.int64)
         flat = np.concatenate(done_symbols) if done_symbols else np.zeros(0, np.int64)
