@@ -5,13 +5,15 @@ name of the 2^k lines from a line is a hash of the names of its two halves, so e
 sequence and only names travel. A repeated run that holds at least `MIN_WORDS` words is a union of least runs: those
 from a line forwards, or back from a line, that just reach that many words. The names of these (made of two
 overlapping doubled names) are grouped over all documents with map-side combining; each group keeps its
-first place, and the lines of its later places are deleted.
+first place, and the lines of its later places are deleted. A place that overlaps the first one of its own document is no
+copy of it: a line that follows itself twenty times leaves as many as make a whole run.
 
-Equality classes of names stand in for the sorted suffix order, which is not built: the deletions need only
-which runs are equal and which is first, and both are exact up to 128-bit hash collisions.
+Equality classes of names stand in for the sorted suffix order, which is not built. The deletions need which runs are equal and which
+is first; longest common prefixes of neighbours in the suffix order give the longest earlier run, overlapping or not, which deletes
+too much of a periodic text, whereas classes of equal runs give the first place exactly (up to 128-bit hash collisions).
 
 Defined results: order is doc_id (null first), then a hash of the text, then line number; null and empty texts stay as
-they are; lines without words are kept unless both neighbours go; repeated rows count as copies, of which the
+they are; very long texts are taken whole, in time in proportion to their lines times the logarithm of the longest run; an empty table gives no rows; lines without words are kept unless both neighbours go; repeated rows count as copies, of which the
 first alone keeps its lines where doc_id or text differ (rows equal in both are one copy and all stay); a text whose lines
 all go becomes empty, and its row stays in `edited`; other columns pass through.
 """
@@ -101,19 +103,21 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     runs = _store.saved(rows.mapInArrow(run, "a bigint, b bigint, doc_id bigint, h bigint, first int, size int"), "runs")
     place = F.struct("doc_id", "h", "first")
+    apart = ~F.col("doc_id").eqNullSafe(F.col("head.doc_id")) | (F.col("h") != F.col("head.h")) | (F.col("first") >= F.col("head.first") + F.col("size"))
     heads = runs.groupBy("a", "b").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").select("a", "b", "head")
     heads = _store.saved(heads, "heads")
     # The join is on a name alone, one head for each: a frequent name makes no pairs, and skewed parts are split.
-    later = runs.join(heads, ["a", "b"]).where(~place.eqNullSafe(F.col("head")))
+    later = runs.join(heads, ["a", "b"]).where(apart)
     return later.groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "size")).alias("runs"))
 
 
-def edited(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without later copies, with n_deleted lines beside their columns."""
+def edited(docs: DataFrame, min_words: int = MIN_WORDS, n_deleted: str = "n_deleted") -> DataFrame:
+    """The documents without later copies, with the number of deleted lines beside their columns."""
     names = docs.columns
-    found = later_runs(docs, min_words).select(F.col("doc_id").alias("__d"), F.col("h").alias("__g"), F.col("runs").alias("__runs"))
-    rows = docs.withColumn("__h", F.xxhash64("text"))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__g")), "left").select(*names, "__runs")
+    h, d, g, r, new = (_text.free(x, names) for x in ("__h", "__d", "__g", "__runs", "__new"))
+    found = later_runs(docs, min_words).select(F.col("doc_id").alias(d), F.col("h").alias(g), F.col("runs").alias(r))
+    rows = docs.withColumn(h, F.xxhash64("text"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(g)), "left").select(*names, r)
 
     @F.pandas_udf("struct<text: string, n: bigint>")
     def cut(text, runs):
@@ -126,26 +130,24 @@ def edited(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 continue
             lines, full, _ = _lines(t)
             gone = np.zeros(len(full) + 1, np.int64)
-            for r in rs:
-                gone[r["first"]] += 1
-                gone[r["first"] + r["size"]] -= 1
+            for run in rs:
+                gone[run["first"]] += 1
+                gone[run["first"] + run["size"]] -= 1
             dead = np.zeros(len(lines), bool)
             dead[full[np.cumsum(gone)[:-1] > 0]] = True
-            blank = np.ones(len(lines), bool)
-            blank[full] = False
-            for i in np.flatnonzero(blank):
-                before = full[full < i]
-                after = full[full > i]
-                dead[i] = (not len(before) or dead[before[-1]]) and (not len(after) or dead[after[0]])
+            blank = np.setdiff1d(np.arange(len(lines)), full)
+            after = np.searchsorted(full, blank)
+            ends = np.concatenate([[True], dead[full], [True]])  # before the first and after the last line with words
+            dead[blank] = ends[after] & ends[after + 1]
             out.append(("\n".join(x for x, d in zip(lines, dead, strict=True) if not d), int(dead.sum())))
         return pd.DataFrame(out, columns=["text", "n"])
 
-    hit = rows.where("__runs is not null").withColumn("__new", cut("text", "__runs"))
-    hit = hit.withColumn("text", F.col("__new.text")).withColumn("n_deleted", F.col("__new.n"))
+    hit = rows.where(F.col(r).isNotNull()).withColumn(new, cut("text", r))
+    hit = hit.withColumn("text", F.col(f"{new}.text")).withColumn(r, F.col(f"{new}.n"))
     if "n_chars" in names:
         hit = hit.withColumn("n_chars", F.length("text").cast("long"))
-    rest = rows.where("__runs is null").withColumn("n_deleted", F.lit(0).cast("long"))
-    return hit.select(*names, "n_deleted").unionByName(rest.select(*names, "n_deleted"))
+    rest = rows.where(F.col(r).isNull()).withColumn(r, F.lit(0).cast("long"))
+    return hit.select(*names, F.col(r).alias(n_deleted)).unionByName(rest.select(*names, F.col(r).alias(n_deleted)))
 
 
 def digest(docs: DataFrame) -> DataFrame:
