@@ -1,13 +1,14 @@
 """Operator 8: mixing sources to target weights.
 
-The words of a source, in order of doc_id, are packed into blocks of fixed length. Output slots are dealt
-to shards by multinomial source counts conditioned on each source's total, by a seeded halving of the shard
-range, so that any task can draw its own shard. Slot j of a source takes block P(j mod n) of pass j div n, where P
+The words of a source, in order of doc_id, are packed into blocks of fixed length. The places of the output are dealt to the
+slots of all sources by a seeded pseudorandom permutation, so that the source counts of a shard are a multinomial draw conditioned on
+each source's total, at every size, and any task can draw its own shard. Slot j of a source takes block P(j mod n) of pass j div n, where P
 is a Feistel permutation of that source and pass. Blocks and slots are joined by (source, block).
 
 The last slot of a source is cut so that its words equal the rounded target. Defined results: null and empty
 texts have size 0 and take nothing; a null source comes last; documents with equal doc_id are ordered by a
-hash of their text; reruns agree whatever the partitions; other columns are not read; an empty table gives no rows.
+hash of their text; repeated rows are each a document (in `mixed`, rows equal in doc_id, text and source share the other columns of one);
+very long texts run over as many blocks as they need; reruns agree whatever the partitions; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,14 +47,26 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     """A pseudorandom permutation of range(n): a four-round Feistel network with cycle walking."""
+    return _walked(x, n, key, False)
+
+
+def unpermuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
+    return _walked(x, n, key, True)
+
+
+def _walked(x: np.ndarray, n: int, key: int, back: bool) -> np.ndarray:
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     out = x.astype(np.uint64)
     todo = np.ones(len(out), bool)
     while todo.any():
         left, right = out[todo] >> np.uint64(half), out[todo] & mask
-        for r in range(4):
-            left, right = right, left ^ (_text.mix(right + np.uint64((key * 4 + r) % (1 << 63))) & mask)
+        for r in range(3, -1, -1) if back else range(4):
+            k = np.uint64((key * 4 + r) % (1 << 63))
+            if back:
+                left, right = right ^ (_text.mix(left + k) & mask), left
+            else:
+                left, right = right, left ^ (_text.mix(right + k) & mask)
         out[todo] = (left << np.uint64(half)) | right
         todo = out >= np.uint64(n)
     return out.astype(np.int64)
@@ -65,36 +78,12 @@ def slots_needed(size: int, target: int, block: int, key: int) -> tuple[int, int
     passes, left = divmod(target, size)
     if not left:
         return passes * n, 0 if not passes else int(short if permuted(np.array([n - 1]), n, key + passes - 1)[0] == n - 1 else block)
+    # One block alone is short: its slot in this pass is found by the inverse.
+    odd = int(unpermuted(np.array([n - 1]), n, key + passes)[0])
+    words = lambda q: q * block - (block - short) * (odd < q)
     q = -(-left // block)
-    got = permuted(np.arange(q + 1) % n, n, key + passes)
-    lens = np.where(got == n - 1, short, block)
-    ends = np.cumsum(lens)
-    q = int(np.searchsorted(ends, left)) + 1
-    return passes * n + q, int(left - (ends[q - 2] if q > 1 else 0))
-
-
-def shard_counts(totals: np.ndarray, shards: int, shard: int, per: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Source counts of one shard and of all before it: multivariate hypergeometric halving of the range."""
-    lo, hi, here, before = 0, shards, totals.copy(), np.zeros_like(totals)
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        n = min((mid - lo) * per, int(here.sum()))
-        left = rng.multivariate_hypergeometric(here, n, method="marginals") if here.sum() < 10**9 else _split(rng, here, n)
-        if shard < mid:
-            hi, here = mid, left
-        else:
-            lo, before, here = mid, before + left, here - left
-    return here, before
-
-
-def _split(rng: np.random.Generator, here: np.ndarray, n: int) -> np.ndarray:
-    """The same in totals that the library's sampler doesn't take: a proportional split, the rest at random."""
-    want = here * (n / here.sum())
-    out = np.floor(want).astype(np.int64)
-    rest = n - int(out.sum())
-    out[rng.permutation(np.flatnonzero(out < here))[:rest]] += 1
-    return out
+    q += words(q) < left
+    return passes * n + q, left - words(q - 1)
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -124,15 +113,17 @@ def plan(sources: list[tuple[str | None, int]], block: int = BLOCK, seed: int =
 
 def slots(spark, planned: list[dict], block: int = BLOCK, per: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """All output slots: shard, source number, pass, block, and the words taken from the block's start."""
-    totals = np.array([x["slots"] for x in planned], np.int64)
-    shards = max(1, -(-int(totals.sum()) // per))
+    ends = np.cumsum([0, *(x["slots"] for x in planned)]).astype(np.int64)
+    total = int(ends[-1])
+    shards = max(1, -(-total // per))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard in b.column(0).to_pylist():
-                counts, before = shard_counts(totals, shards, shard, per, seed)
-                for s in np.flatnonzero(counts):
-                    x, j = planned[s], before[s] + np.arange(counts[s])
+                slot = permuted(np.arange(shard * per, min((shard + 1) * per, total)), total, seed)
+                of = np.searchsorted(ends, slot, "right") - 1
+                for s in np.unique(of):
+                    x, j = planned[s], slot[of == s] - ends[s]
                     turn, at = j // x["blocks"], j % x["blocks"]
                     got = np.zeros(len(j), np.int64)
                     for t in np.unique(turn):
@@ -140,7 +131,7 @@ def slots(spark, planned: list[dict], block: int = BLOCK, per: int = SHARD_SLOTS
                     words = np.where(j == x["slots"] - 1, x["last"], block)
                     yield pa.RecordBatch.from_pydict({"shard": np.full(len(j), shard), "s": np.full(len(j), s), "turn": turn, "block": got, "words": words})
 
-    return spark.range(0, shards, 1, min(shards, 200)).mapInArrow(run, "shard bigint, s bigint, turn bigint, block bigint, words bigint")
+    return spark.range(0, shards, 1, max(min(shards, 64), shards // 16)).mapInArrow(run, "shard bigint, s bigint, turn bigint, block bigint, words bigint")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -169,11 +160,23 @@ def taken(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix: for each document and pass a row with the words that the pass takes."""
-    _, runs = mix(docs)
-    cut = runs.groupBy("doc_id", "h", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("runs"))
-    rows = docs.withColumn("__h", F.xxhash64("text")).alias("d").join(cut.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.__h") == F.col("c.h")))
-    words = F.regexp_extract_all("d.text", F.lit(f"({_text.WORD})"), F.lit(1))
-    rows = rows.select("d.*", F.col("c.runs").alias("__runs"), words.alias("__words"))
-    text = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice("__words", (r["first"] + 1).cast("int"), r["n"].cast("int")))), " ")
+    at, runs = mix(docs)
+    names = docs.columns
+    d, h, r, w, c = (_text.free(x, names) for x in ("__d", "__h", "__runs", "__words", "__s"))
+    runs = runs.groupBy("doc_id", "h", "start", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("runs"))
+    own = at.select("doc_id", "h", "start", "source").alias("a")
+    same = F.col("a.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("a.h") == F.col("r.h")) & (F.col("a.start") == F.col("r.start"))
+    cut = runs.alias("r").join(own, same).select(F.col("r.doc_id").alias(d), F.col("r.h").alias(h), F.col("a.source").alias(c), F.col("r.runs").alias(r))
+    found = F.col("x.doc_id").eqNullSafe(F.col(f"t.{d}")) & (F.col(f"x.{h}") == F.col(f"t.{h}")) & F.col("x.source").eqNullSafe(F.col(f"t.{c}"))
+    rows = docs.withColumn(h, F.xxhash64("text"))
+    twice = at.groupBy("doc_id", "h", "source").agg(F.count("*").alias("n")).where("n > 1")
+    twice = _store.saved(twice.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("source").alias(c)), "twice").alias("t")
+    if twice.limit(1).count():
+        # Rows equal in id, text and source are taken one by one by the mix: each of its rows finds one of them here.
+        again = rows.alias("x").join(twice, found, "left_semi").dropDuplicates(["doc_id", h, "source"])
+        rows = rows.alias("x").join(twice, found, "left_anti").unionByName(again)
+    rows = rows.alias("x").join(cut.alias("t"), found).select("x.*", F.col(f"t.{r}"))
+    rows = rows.withColumn(w, F.regexp_extract_all("text", F.lit(f"({_text.WORD})"), F.lit(1)))
+    text = F.array_join(F.flatten(F.transform(r, lambda x: F.slice(w, (x["first"] + 1).cast("int"), x["n"].cast("int")))), " ")
     rows = rows.withColumn("text", text)
-    return (rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows).select(*docs.columns)
+    return (rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else rows).select(*names)
