@@ -8,7 +8,7 @@ exceeds `CUT`, a chi-squared quantile. Every step is an aggregate with map-side
 
 Defined results: null and empty texts have no words and fail the base rules; null lang or source is a
 group value of its own; repeated rows each get a row; other columns are not read; an empty table gives no rows.
-Windows are compared by 64-bit hashes within one text.
+very long texts count whole; ties in distance fall on one side of a limit together. Windows are compared by 64-bit hashes within one text.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ H = 0.75
 STARTS, FEW, STEPS, LEAST_FALL = 4, 10, 30, 1e-4
 #: Least standard deviation of each transformed statistic: rounding and rare events aren't outliers.
 FLOORS = {"f_word": 0.08, "f_symbol": 0.05, "f_line": 0.1, "f_repeat": 0.1}
+#: Groups sent to all tasks: at most these, else they are joined by a shuffle.
+SENT = 50_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -127,11 +129,15 @@ def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, cut: float = CUT) -> D
     rows = _store.saved(rows, "quality")
     groups = _store.saved(_groups(rows, min_group), "groups")
     own = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
-    rows = rows.withColumn("own", own).join(groups, "own").drop("own")
+    rows = rows.withColumn("own", own).join(F.broadcast(groups) if groups.limit(SENT + 1).count() <= SENT else groups, "own").drop("own")
     good = rows.where(~F.col("base_failed")).select(F.explode("serves").alias("g"), "doc_id", *names)
 
     scale = F.lit(consistency(p, H))
 
+    def sent(few: DataFrame) -> DataFrame:
+        """Estimates, one row for a group and start: sent to all tasks while they are few, so that no group's rows meet in one."""
+        return F.broadcast(few) if few.limit(SENT + 1).count() <= SENT else few
+
     def moments(part: DataFrame) -> DataFrame:
         aggs = [F.avg(x).alias(f"m{i}") for i, x in enumerate(names)]
         aggs += [(scale * F.covar_pop(names[i], names[j])).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)]
@@ -142,13 +148,15 @@ def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, cut: float = CUT) -> D
     # Start 0 is the median; the others are the moments of about `FEW` rows each, chosen by hashes of their values.
     first = middle.select("g", F.lit(0).alias("start"), *[f"m{i}" for i in range(p)], *[F.lit(0.0).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)])
     luck = F.pmod(F.xxhash64("start", "doc_id", *names), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    few = good.join(middle.select("g", "n"), "g").withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(1, STARTS)]))).where(luck * F.col("n") < FEW)
+    few = good.join(sent(middle.select("g", "n")), "g").withColumn("start", F.explode(F.array(*[F.lit(i) for i in range(1, STARTS)]))).where(luck * F.col("n") < FEW)
     going = _store.saved(_factored(first.unionByName(moments(few)), names).withColumn("last", F.lit(float("inf"))), "estimate")
     ended = None
     for step in range(STEPS):
-        far = good.join(going, "g").select("g", "start", "last", *names, _distance(names).alias("d"))
+        few_left = going.limit(SENT + 1).count() <= SENT
+        far = good.join(F.broadcast(going) if few_left else going, "g").select("g", "start", "last", *names, _distance(names).alias("d"))
         limit = far.groupBy("g", "start").agg(F.percentile_approx("d", H, 10000).alias("limit"), F.first("last").alias("last"))
-        near = far.drop("last").join(limit.drop("last"), ["g", "start"]).where(F.col("d") <= F.col("limit"))
+        bounds = limit.drop("last")
+        near = far.drop("last").join(F.broadcast(bounds) if few_left else bounds, ["g", "start"]).where(F.col("d") <= F.col("limit"))
         after = _factored(moments(near), names).join(limit.select("g", "start", "last"), ["g", "start"])
         fell = F.col("det") < F.col("last") - LEAST_FALL
         after = _store.saved(after.withColumn("going", fell).withColumn("last", F.least("det", "last")), "estimate")
@@ -159,5 +167,6 @@ def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, cut: float = CUT) -> D
             break
     fields = [c for c in ended.columns if c != "g"]
     estimate = ended.groupBy("g").agg(F.min_by(F.struct(*fields), F.struct("det", "start")).alias("e")).select("g", "e.*")
-    out = rows.join(estimate, "g", "left").select("doc_id", *BASE, "base_failed", _distance(names).alias("distance"))
+    estimate = _store.saved(estimate, "estimates")
+    out = rows.join(sent(estimate), "g", "left").select("doc_id", *BASE, "base_failed", _distance(names).alias("distance"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True)))
