@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import search, store
+from . import files, search, store
 from .ivf import all_knn
 from .metric import Metric, normalized, scores, squared_l2, unit_rows
+from .status import VexelError, check_build, log, require
 
 CANDIDATES, MAX_DEGREE = 64, 63
 #: Vectors and edges sent to the workers at most.
@@ -36,13 +37,14 @@ def seeds(query_id: int, n: int, nodes: int) -> np.ndarray:
 
 
 class GraphIndex:
-    def __init__(self, vectors: DataFrame, metric: Metric = Metric.L2, degree: int = 32, reverse: bool = True, nprobe: int = 64):
+    def __init__(self, vectors: DataFrame, metric: Metric = Metric.L2, degree: int = 32, reverse: bool = True, nprobe: int = 64, knn_cache: str | None = None):
+        check_build(vectors, degree=degree)
         self.metric, self.degree, self.n = metric, min(degree, MAX_DEGREE), vectors.where("vec is not null").count()
         vec = normalized("vec") if metric == Metric.COSINE else F.col("vec").cast("array<double>")
         self.vectors = vectors.where("vec is not null").select(F.col("id").cast("long").alias("id"), vec.alias("vec"))
         self.vectors = store.saved(self.vectors, "vectors")
         self.seeds = None
-        near = all_knn(self.vectors, CANDIDATES, metric, max(64, int(self.n**0.5)), nprobe)
+        near = self._near(knn_cache, nprobe)
         other = self.vectors.select("id", F.col("vec").alias("v"))
         rows = near.join(other, "id").join(self.vectors.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id")
         r, m = self.degree, metric
@@ -62,6 +64,37 @@ class GraphIndex:
         self.forward = store.saved(rows.groupBy("query_id").applyInPandas(prune, "src bigint, slot int, dst bigint, kind string"), "forward")
         self.edges = store.saved(self.forward.unionByName(self._reverse()), "edges") if reverse else self.forward
 
+    def _near(self, cache: str | None, nprobe: int) -> DataFrame:
+        """The nearest others of all rows; from the cache folder if it was made of as many rows and neighbours, else written there."""
+        spark = self.vectors.sparkSession
+        make = lambda: all_knn(self.vectors, CANDIDATES, self.metric, max(64, int(self.n**0.5)), nprobe)
+        if cache is None:
+            return make()
+        key = {"n": self.n, "k": CANDIDATES, "metric": int(self.metric)}
+        try:
+            meta, _, rows = files.read(spark, cache, "knn")
+            if meta == key:
+                return rows
+            log.warning("the neighbours in %s are of another table and are made again", cache)
+            return make()
+        except VexelError:
+            files.write(make(), cache, "knn", key, {})
+            return files.read(spark, cache, "knn")[2]
+
+    def save(self, path: str) -> None:
+        meta = {"metric": int(self.metric), "n": self.n, "degree": self.degree}
+        self.edges.write.parquet(f"{path}/edges")
+        files.write(self.vectors, path, "graph", meta, {})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> GraphIndex:
+        meta, _, rows = files.read(spark, path, "graph")
+        out = cls.__new__(cls)
+        out.metric, out.n, out.degree, out.vectors, out.seeds = Metric(meta["metric"]), meta["n"], meta["degree"], rows, None
+        out.edges = spark.read.parquet(f"{path}/edges")
+        out.forward = out.edges.where("kind = 'forward'")
+        return out
+
     def _reverse(self) -> DataFrame:
         """Reverse edges in the free slots of a node, lowest source first; also of edges that run both ways."""
         full = self.forward.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
@@ -109,8 +142,7 @@ class GraphIndex:
 
         Mode `best_first` sends the graph to the workers, `beam` walks it by joins; unless named, the
         first serves graphs of at most `SENT_BYTES`, the second all others."""
-        if mode not in (None, "best_first", "beam"):
-            raise ValueError("mode is best_first or beam")
+        require(mode in (None, "best_first", "beam"), "mode is best_first or beam")
         k = max(k, 1)
         width = max(width, k)
         starts = max(1, min(starts, width))

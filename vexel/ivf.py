@@ -6,18 +6,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import search
+from . import files, search, store
 from .flat import clamped
-from .metric import Metric, normalized, scores
+from .metric import Metric, normalized, score, scores
+from .status import check_build, require
 
 SEED, PER_CENTROID, SUB, OPQ_SAMPLE = 12345, 256, 256, 65_536
+#: Training rows that may meet on the driver, and cells that have a folder each.
+DRIVER_ROWS, FOLDERS = 65_536, 4096
+
+
+def sampled(vectors: DataFrame, n: int, of: int) -> DataFrame:
+    """About n of the `of` rows, those with the least hashes of seed and id; exactly n where they fit on the driver."""
+    key = F.md5(F.concat_ws(":", F.lit(SEED), "id"))
+    if n >= of:
+        return vectors
+    if n <= DRIVER_ROWS:
+        return vectors.orderBy(key, "id").limit(n)
+    return vectors.where(F.conv(F.substring(key, 1, 12), 16, 10).cast("double") < n / of * 16.0**12)
 
 
 def sample(vectors: DataFrame, n: int) -> np.ndarray:
-    """At most n rows, in an order that depends on the seed and id alone."""
+    """At most n rows on the driver, in an order that depends on the seed and id alone."""
     rows = vectors.orderBy(F.md5(F.concat_ws(":", F.lit(SEED), "id")), "id").limit(n).select("vec").toArrow()
     return search.matrix(rows.column(0).combine_chunks().cast(pa.list_(rows.schema.field(0).type.value_type)))
 
@@ -43,33 +56,76 @@ def kmeans(x: np.ndarray, k: int, iters: int = 12) -> np.ndarray:
     return c
 
 
+def kmeans_table(rows: DataFrame, k: int, iters: int = 12) -> np.ndarray:
+    """The same rounds over a table (id, vec): each task adds up its rows by cell, and only sums of cells meet. Empty
+    cells take rows chosen by hash."""
+    spark = rows.sparkSession
+    start = sample(rows, k)
+    c = start[np.arange(k) % len(start)].copy()
+    dim = c.shape[1]
+    for _ in range(iters):
+        shared = spark.sparkContext.broadcast(c)  # k rows: bounded by the number of cells
+
+        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            c = shared.value
+            n, total = np.zeros(len(c), np.int64), np.zeros_like(c)
+            for b in batches:
+                if b.num_rows:
+                    x = search.matrix(b.column(0), c.shape[1])
+                    cell = assign(x, c)
+                    n += np.bincount(cell, minlength=len(c))
+                    np.add.at(total, cell, x)
+            some = np.flatnonzero(n)
+            flat = pa.array(total[some].ravel())
+            yield pa.RecordBatch.from_pydict({"cell": some, "n": n[some], "total": pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * c.shape[1]), flat)})
+
+        sums = rows.select("vec").mapInArrow(add, "cell bigint, n bigint, total array<double>").groupBy("cell").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("total")[i]) for i in range(dim)]).alias("total")).toArrow()
+        cell, n = sums.column("cell").to_numpy(), sums.column("n").to_numpy()
+        c = start[np.random.default_rng(SEED).integers(0, len(start), k)].copy()
+        c[cell] = np.array(sums.column("total").to_pylist(), np.float64).reshape(len(cell), dim) / n[:, None]
+        c = c.astype(np.float32).astype(np.float64)
+        shared.unpersist()
+    return c
+
+
+def trained(vectors: DataFrame, n: int, nlist: int, iters: int, subsample: bool) -> np.ndarray:
+    """Centroids from PER_CENTROID rows a cell, or from all rows; on the driver while these rows are few."""
+    most = min(n, PER_CENTROID * nlist) if subsample else n
+    if most <= DRIVER_ROWS:
+        return kmeans(sample(vectors, most), nlist, iters)
+    rows = store.saved(sampled(vectors, most, n), "training")
+    c = kmeans_table(rows, nlist, iters)
+    store.dropped(rows)
+    return c
+
+
 class IvfIndex:
-    """Cells are always by L2; the fine score is by the metric."""
+    """Cells are always by L2; the fine score is by the metric. Rows are assigned to cells once, and written by cell, so
+    that a search reads the cells it probes and no others."""
 
-    def __init__(self, vectors: DataFrame, metric: Metric = Metric.L2, nlist: int = 64, iters: int = 12):
+    def __init__(self, vectors: DataFrame, metric: Metric = Metric.L2, nlist: int = 64, iters: int = 12, subsample: bool = True):
+        check_build(vectors, nlist=nlist)
         vec = normalized("vec") if metric == Metric.COSINE else F.col("vec")
-        self.metric, self.n = metric, vectors.count()
+        self.vectors = vectors.where("vec is not null").select(F.col("id").cast("long").alias("id"), vec.alias("vec"))
+        self.metric, self.n, self.asked = metric, self.vectors.count(), nlist
         self.nlist = max(1, min(nlist, self.n))
-        self.vectors = vectors.select(F.col("id").cast("long").alias("id"), vec.alias("vec"))
-        rows = sample(self.vectors, PER_CENTROID * self.nlist)
-        self.centroids = kmeans(rows, self.nlist, iters) if self.n else np.zeros((0, 0))
-        self.postings = self.assigned()
+        self.centroids = trained(self.vectors, self.n, self.nlist, iters, subsample) if self.n else np.zeros((0, 0))
+        self.postings = store.saved_by(self.assigned(), "postings", "cell", self.nlist <= FOLDERS)
+
+    def dim(self) -> int:
+        return self.centroids.shape[1]
 
     def assigned(self) -> DataFrame:
         centroids = self.centroids
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                cell = assign(search.matrix(b.column(1)), centroids)
+                cell = assign(search.matrix(b.column(1), centroids.shape[1]), centroids) if b.num_rows else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], [*b.schema.names, "cell"])
 
         kind = self.vectors.schema["vec"].dataType.simpleString()
         return self.vectors.mapInArrow(run, f"id bigint, vec {kind}, cell int")
 
-    def clustered(self) -> DataFrame:
-        """The postings laid out by cell, for writing; a hot cell is cut by a hash of id."""
-        return self.postings.repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell", "id")
-
     def cell_sizes(self) -> DataFrame:
         return self.postings.groupBy("cell").agg(F.count("*").alias("n"))
 
@@ -78,15 +134,29 @@ class IvfIndex:
         return lambda q: np.argsort(-scores(Metric.L2, q, centroids), axis=1, kind="stable")[:, :n]
 
     def search(self, queries: DataFrame, k: int = 10, nprobe: int = 8) -> DataFrame:
+        if not self.n:
+            return search.ranked(queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double"), self.metric, 1)
         return search.scan(self.postings, queries, self.metric, max(k, 1), probes=self.probes(nprobe))
 
+    def save(self, path: str) -> None:
+        files.write(self.postings, path, "ivf", {"metric": int(self.metric), "n": self.n, "nlist": self.nlist, "asked": self.asked}, {"centroids": self.centroids}, by="cell")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IvfIndex:
+        meta, arrays, rows = files.read(spark, path, "ivf")
+        out = cls.__new__(cls)
+        out.metric, out.n, out.nlist, out.asked = Metric(meta["metric"]), meta["n"], meta["nlist"], meta["asked"]
+        out.centroids, out.postings = arrays["centroids"], rows.select("id", "vec", "cell")
+        out.vectors = out.postings.select("id", "vec")
+        return out
+
 
 def all_knn(vectors: DataFrame, k: int, metric: Metric = Metric.L2, nlist: int = 64, nprobe: int = 64) -> DataFrame:
     """The k nearest others of every row."""
     index = IvfIndex(vectors, metric, nlist)
+    if not index.n:
+        return vectors.sparkSession.createDataFrame([], search.RESULT)
     got = index.search(vectors.select(F.col("id").alias("query_id"), "vec"), k + 1, nprobe).where("id != query_id")
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return got.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -125,32 +195,36 @@ def decode(codes: np.ndarray, book: np.ndarray) -> np.ndarray:
 
 
 class IvfPqIndex:
-    """Rows as codes of m bytes. The distance without rerank is an approximate squared L2, also under COSINE."""
+    """Rows as codes of m bytes, written by cell. The distance without rerank is an approximate squared L2, also under COSINE."""
 
     def __init__(self, vectors: DataFrame, metric: Metric = Metric.L2, nlist: int = 64, m: int = 8, residual: bool = True, opq: bool = False, keep_vectors: bool = True):
-        if metric == Metric.INNER_PRODUCT:
-            raise ValueError("the inner product isn't supported with codes")
-        self.metric, self.m, self.residual = metric, m, residual
+        check_build(vectors, nlist=nlist, m=m)
+        require(metric != Metric.INNER_PRODUCT, "the inner product isn't supported with codes")
+        self.metric, self.m, self.residual, self.told = metric, m, residual, set()
         vec = normalized("vec") if metric == Metric.COSINE else F.col("vec")
-        self.full = vectors.select(F.col("id").cast("long").alias("id"), vec.alias("vec"))
+        self.full = vectors.where("vec is not null").select(F.col("id").cast("long").alias("id"), vec.alias("vec"))
+        self.n, self.kept, self.asked = self.full.count(), keep_vectors, nlist
         rows = sample(self.full, OPQ_SAMPLE)
-        if m < 1 or (len(rows) and rows.shape[1] % m):
-            raise ValueError("m must divide the dimension")
-        self.r, self.errors = rotation(rows, m) if opq else (np.eye(rows.shape[1]), [])
+        require(not len(rows) or rows.shape[1] % m == 0, "m must divide the dimension")
+        self.r, self.errors = rotation(rows, m) if opq and len(rows) else (np.eye(rows.shape[1]), [])
         rows = rows @ self.r.T
-        self.n, self.kept = vectors.count(), keep_vectors
         self.nlist = max(1, min(nlist, self.n))
-        self.centroids = kmeans(rows[: PER_CENTROID * self.nlist], self.nlist)
+        if not self.n:
+            self.centroids, self.book = np.zeros((0, 0)), np.zeros((m, SUB, 0))
+            self.codes = vectors.sparkSession.createDataFrame([], "id bigint, cell int, code binary")
+            return
+        # Cells from as many rows as an IvfIndex takes, in the rotated space; codebooks from the sample.
+        self.centroids = trained(self.full, self.n, self.nlist, 12, True) @ self.r.T if PER_CENTROID * self.nlist > len(rows) else kmeans(rows[: PER_CENTROID * self.nlist], self.nlist)
         cell = assign(rows, self.centroids)
         self.book = train_codes(rows - self.centroids[cell] if residual else rows, m)
-        self.codes = self._coded()
+        self.codes = store.saved_by(self._coded(), "codes", "cell", self.nlist <= FOLDERS)
 
     def _coded(self) -> DataFrame:
         r, centroids, book, residual = self.r, self.centroids, self.book, self.residual
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = search.matrix(b.column(1)) @ r.T if b.num_rows else np.zeros((0, len(r)))
+                x = search.matrix(b.column(1), len(r)) @ r.T if b.num_rows else np.zeros((0, len(r)))
                 cell = assign(x, centroids)
                 code = encode(x - centroids[cell] if residual else x, book)
                 yield pa.RecordBatch.from_pydict({"id": b.column(0), "cell": cell.astype(np.int32), "code": pa.array([c.tobytes() for c in code], pa.binary())})
@@ -159,13 +233,15 @@ class IvfPqIndex:
 
     def search(self, queries: DataFrame, k: int = 10, nprobe: int = 8, rerank: int = 0) -> DataFrame:
         r, centroids, book, residual = self.r, self.centroids, self.book, self.residual
-        k = clamped(k)
+        k = clamped(k, self.told)
         again = self.kept and rerank > k
+        if not self.n:
+            return search.ranked(queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double"), self.metric, 1)
 
-        def unpack(b: pa.RecordBatch) -> np.ndarray:
-            code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        def unpack(b: pa.RecordBatch, dim: int) -> np.ndarray:
+            code = np.frombuffer(b"".join(b.column(b.schema.get_field_index("code")).to_pylist()), np.uint8).reshape(b.num_rows, -1)
             x = decode(code, book)
-            return (x + centroids[b.column(1).to_numpy()] if residual else x) @ r
+            return (x + centroids[b.column(b.schema.get_field_index("cell")).to_numpy()] if residual else x) @ r
 
         n = min(max(nprobe, 1), self.nlist)
         near = lambda q: np.argsort(-scores(Metric.L2, q @ r.T, centroids), axis=1, kind="stable")[:, :n]
@@ -173,7 +249,50 @@ class IvfPqIndex:
         if not again:
             return short
         q = queries.select("query_id", (normalized("vec") if self.metric == Metric.COSINE else F.col("vec")).alias("q"))
-        from .metric import score
-
         pairs = short.select("query_id", "id").join(self.full, "id").join(q, "query_id")
         return search.ranked(pairs.select("query_id", "id", score(self.metric, "q", "vec").alias("score")), self.metric, k)
+
+    def save(self, path: str) -> None:
+        meta = {"metric": int(self.metric), "n": self.n, "nlist": self.nlist, "asked": self.asked, "m": self.m, "residual": self.residual, "kept": self.kept}
+        files.write(self.codes, path, "ivfpq", meta, {"centroids": self.centroids, "book": self.book, "r": self.r}, by="cell")
+        if self.kept:
+            self.full.write.parquet(f"{path}/full")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IvfPqIndex:
+        meta, arrays, rows = files.read(spark, path, "ivfpq")
+        out = cls.__new__(cls)
+        for name in ("n", "nlist", "asked", "m", "residual", "kept"):
+            setattr(out, name, meta[name])
+        out.metric, out.errors, out.told = Metric(meta["metric"]), [], set()
+        out.centroids, out.book, out.r = arrays["centroids"], arrays["book"], arrays["r"]
+        out.codes = rows.select("id", "cell", "code")
+        out.full = spark.read.parquet(f"{path}/full") if out.kept else None
+        return out
+
+
+def adc_entry(part: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """|code|^2 - 2 part.code of each code row: what a sub-vector adds to a squared distance, less |part|^2."""
+    return (code * code).sum(axis=-1) - 2 * code @ part
+
+
+def adc_table(q: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """(m, 256): the entries of a query's parts with all codes."""
+    sub = book.shape[2]
+    return np.stack([adc_entry(q[i * sub : (i + 1) * sub], book[i]) for i in range(len(book))])
+
+
+def cell_table(centroids: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """(cells, m, 256): 2 centroid.code, which residual codes add in their cell."""
+    m, _, sub = book.shape
+    return 2 * np.einsum("cis,iks->cik", centroids.reshape(len(centroids), m, sub), book)
+
+
+def adc_distances(q: np.ndarray, codes: np.ndarray, book: np.ndarray, cells: np.ndarray | None = None, centroids: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances of a query (rotated) to coded rows by table look-ups; with cells, the codes are residuals."""
+    lut, of = adc_table(q, book), np.arange(len(book))
+    d = lut[of, codes].sum(axis=1)
+    if cells is None:
+        return d + q @ q
+    near = ((q - centroids) ** 2).sum(axis=1)
+    return d + near[cells] + cell_table(centroids, book)[cells[:, None], of, codes].sum(axis=1)

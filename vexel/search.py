@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metric import Metric, scores, unit_rows, value
+from .status import require
 
 QUERIES = 4096
+#: Bytes of scores made at a time, and the fewest candidates in a tile.
+TILE_BYTES, TILE_ROWS = 128 << 20, 256
 RESULT = "query_id bigint, rank int, id bigint, distance double"
 
 
@@ -26,19 +29,26 @@ def ranked(pairs: DataFrame, metric: Metric, k: int) -> DataFrame:
     return good.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", value(metric, "score").alias("distance"))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column of equal lengths, in double."""
+def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """Rows of a list column of equal lengths (`dim`, if given), in double; null components are NaN."""
     at = np.asarray(column.offsets, np.int64)
+    lens = np.diff(at)
+    if len(lens):
+        wrong = lens[lens != (lens[0] if dim is None else dim)]
+        require(not len(wrong), f"a vector of {wrong[0] if len(wrong) else 0} components among those of {lens[0] if dim is None else dim}")
     flat = column.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def query_runs(queries: DataFrame, metric: Metric) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    queries = queries.where("vec is not null and query_id is not null")
     n = queries.count()
     parts = -(-n // (QUERIES // 2))
     for p in range(parts):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).collect()
         if rows:
+            dims = {len(r.vec) for r in rows}
+            require(len(dims) == 1, f"queries of different lengths: {sorted(dims)}")
             q = np.array([r.vec for r in rows], np.float64)
             yield np.array([r.query_id for r in rows], np.int64), unit_rows(q) if metric == Metric.COSINE else q
 
@@ -50,10 +60,11 @@ def best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return np.nonzero((s >= least) & (s > -np.inf))
 
 
-def scan(rows: DataFrame, queries: DataFrame, metric: Metric, k: int, unpack: Callable[[pa.RecordBatch], np.ndarray] | None = None, probes: Callable[[np.ndarray], np.ndarray] | None = None, code_metric: Metric | None = None) -> DataFrame:
-    """The k best rows of each query. With `probes` (query matrix to its cells) a row counts only in a probed `cell`."""
+def scan(rows: DataFrame, queries: DataFrame, metric: Metric, k: int, unpack: Callable[[pa.RecordBatch, int], np.ndarray] | None = None, probes: Callable[[np.ndarray], np.ndarray] | None = None, code_metric: Metric | None = None) -> DataFrame:
+    """The k best rows of each query. With `probes` (query matrix to its cells) a row counts only in a probed `cell`, and
+    cells that no query of a run probes aren't read."""
     spark, out = rows.sparkSession, None
-    unpack = unpack or (lambda b: matrix(b.column(b.schema.get_field_index("vec"))))
+    unpack = unpack or (lambda b, dim: matrix(b.column(b.schema.get_field_index("vec")), dim))
     used = code_metric if code_metric is not None else metric
     for ids, q in query_runs(queries, metric):
         cells: dict[int, np.ndarray] | None = None
@@ -63,6 +74,7 @@ def scan(rows: DataFrame, queries: DataFrame, metric: Metric, k: int, unpack: Ca
             keys, first = np.unique(got.ravel()[order], return_index=True)
             cells = {int(c): x for c, x in zip(keys, np.split(order // got.shape[1], first[1:]), strict=True)}
         shared = spark.sparkContext.broadcast((ids, q, cells))
+        read = rows if cells is None else rows.where(F.col("cell").isin([int(c) for c in keys]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q, cells = shared.value
@@ -70,17 +82,19 @@ def scan(rows: DataFrame, queries: DataFrame, metric: Metric, k: int, unpack: Ca
                 if not b.num_rows:
                     continue
                 row = b.column(b.schema.get_field_index("id")).to_numpy()
-                x = unpack(b)
+                x = unpack(b, q.shape[1])
                 groups = [(np.arange(len(ids)), np.arange(len(row)))]
                 if cells is not None:
                     cell = b.column(b.schema.get_field_index("cell")).to_numpy()
                     groups = [(cells[c], np.flatnonzero(cell == c)) for c in np.unique(cell).tolist() if c in cells]
-                for of, at in groups:
-                    s = scores(used, q[of], x[at])
-                    i, j = best(s, row[at], k)
-                    yield pa.RecordBatch.from_pydict({"query_id": ids[of[i]], "id": row[at[j]], "score": s[i, j]})
-
-        got = rows.mapInArrow(run, "query_id bigint, id bigint, score double")
+                for of, group in groups:
+                    step = max(TILE_ROWS, TILE_BYTES // 8 // len(of))
+                    for at in (group[a : a + step] for a in range(0, len(group), step)):
+                        s = scores(used, q[of], x[at])
+                        i, j = best(s, row[at], k)
+                        yield pa.RecordBatch.from_pydict({"query_id": ids[of[i]], "id": row[at[j]], "score": s[i, j]})
+
+        got = read.mapInArrow(run, "query_id bigint, id bigint, score double")
         out = got if out is None else out.unionByName(got)
     return ranked(out if out is not None else spark.createDataFrame([], "query_id bigint, id bigint, score double"), used, k)
 

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +28,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_by(df: DataFrame, name: str, key: str, folders: bool) -> DataFrame:
+    """The same, laid out by a key, so that a filter on it reads only the files (`folders`) or row groups it needs.
+    A hot key is cut into several files."""
+    path = f"{shared_folder(df.sparkSession)}/vexel-{name}-{uuid.uuid4().hex}"
+    if folders:
+        df.hint("rebalance", F.col(key)).write.partitionBy(key).parquet(path)
+    else:
+        df.repartitionByRange(key, F.xxhash64(*df.columns)).sortWithinPartitions(key).write.parquet(path)
+    fields = [f for f in df.schema.fields if f.name != key] + [df.schema[key]]
+    return df.sparkSession.read.schema(StructType(fields)).parquet(path).select(*df.columns)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table that `saved` made and nothing reads any more."""
     spark = df.sparkSession
