@@ -117,6 +117,18 @@ class Merger:
         return flat[at], out_lens[order]
 
 
+class _Numbers(dict):
+    """Numbers of words in order of first sight; `new` holds those seen since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = len(self)
+        return len(self) - 1
+
+
 class WordTable:
     """Ids of words seen so far, in one flat pool."""
 
@@ -125,22 +137,20 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.pool, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words on end, and their number in each word."""
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        if new:
-            flat, lens = self.encode_new(new)
-            base = len(self.starts)
-            self.index.update(zip(new, range(base, base + len(new)), strict=True))
+        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            flat, lens = self.encode_new(self.index.new)
+            self.index.new = []
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lens) - lens])
             self.lens = np.concatenate([self.lens, lens])
             self.pool = np.concatenate([self.pool, flat.astype(np.int32)])
-        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         at, _ = _text.ragged(self.starts[which], self.lens[which])
         return self.pool[at], self.lens[which]
 

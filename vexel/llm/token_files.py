@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, _text
-from .bpe import RECENT, WordTable
+from . import _text
+from .bpe import RECENT, WordTable, byte_alphabet
 
 SEQUENCE = 2048
 SEQUENCES_A_BATCH = 64
@@ -54,12 +55,15 @@ class ByteBpe:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
+        self.letters = dict(enumerate(byte_alphabet()))
         self.table = WordTable(self._encode_parts)
 
     def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        """Each part by the library's model, which is what it makes of it after the split."""
+        model, letters = self.tokenizer.model, self.letters
+        got = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))] for p in parts]
         lens = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.int32, int(lens.sum())), lens
+        return np.fromiter(chain.from_iterable(got), np.int32, int(lens.sum())), lens
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         parts: list[str] = []
@@ -165,24 +169,46 @@ class TokenFile:
             yield ids.ravel()[: int(mask.sum())]
 
 
+def ranges(ids: DataFrame, each: int = 200) -> np.ndarray:
+    """Bounds that cut the doc_ids into about equal parts, as many as the session's shuffles have, from a sample chosen
+    by hash (`each` rows a part). An id of many rows is several bounds."""
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ids.count()
+    some = ids.where("doc_id is not null").withColumn("luck", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 30)))
+    got = some.where(F.col("luck") < min(1.0, 2 * each * parts / max(n, 1)) * (1 << 30)).select("doc_id").limit(4 * each * parts).toArrow()
+    got = np.sort(got.column(0).to_numpy())
+    parts = min(parts, max(1, len(got)))
+    return got[(np.arange(1, parts) * len(got)) // parts] if len(got) else np.zeros(0, np.int64)
+
+
+def part_of(doc_ids: pa.Array, hashes: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """The part of each row, rising with (doc_id, hash), null ids first; rows of an id that is several bounds are parted by their hash."""
+    known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
+    x = doc_ids.fill_null(0).to_numpy()
+    low, high = np.searchsorted(bounds, x, "left"), np.searchsorted(bounds, x, "right")
+    share = (hashes.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+    part = low + ((share * (high - low + 1).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+    return pa.array(np.where(known, np.where(high > low, part, low), 0).astype(np.int32))
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, length: int = SEQUENCE, text: str = "text", doc_id: str = "doc_id") -> list[dict]:
     """Write all documents; returns the manifest in stream order: file, start, n_ids, n_docs."""
-    spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("text"))
 
+    bounds_ = ranges(docs.select(F.col(doc_id).cast("bigint").alias("doc_id")))
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(tokenizer)
         for b in _text.slices(batches, "text"):
             ids, bounds = bpe.encode(b.column(2).to_pylist())
             ids = np.insert(ids, bounds[1:], end_id).astype(bpe.dtype)
             data, at = ids.view(np.uint8), (bounds + np.arange(len(bounds))) * bpe.dtype.itemsize
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "h": b.column(1), "ids": pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "h": b.column(1), "ids": pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary()), "part": part_of(b.column(0), b.column(1), bounds_)})
 
-    # The ids are written before they are dealt to ranges: they are fewer bytes than the text, and the ranges' sampling doesn't encode.
-    rows = _store.saved(source.mapInArrow(encode, "doc_id bigint, h bigint, ids binary"), "ids")
-    # Ranges of doc_id; the hash only parts equal ids, so that one id with many rows can't fill one task.
-    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").select("doc_id", "ids")
+    # The ranges are known beforehand, so that no text is encoded twice to sample them, and only ids are moved.
+    rows = source.mapInArrow(encode, "doc_id bigint, h bigint, ids binary, part int")
+    rows = rows.repartitionById(len(bounds_) + 1, "part").sortWithinPartitions("doc_id", "h", "ids").select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -206,7 +232,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, length:
     for r in sorted(made, key=lambda r: r["part"]):
         manifest.append({"file": r["file"], "start": start, "n_ids": r["n_ids"], "n_docs": r["n_docs"]})
         start += r["n_ids"]
-    _store.dropped(rows)
     _swept(folder, manifest)
     return manifest
 
