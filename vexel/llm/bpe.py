@@ -264,14 +264,15 @@ def codec(path: str) -> WordBpe:
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = True) -> DataFrame:
     """`keep` columns with n_tokens, ids and, if asked, the text decoded from the ids."""
-    source = docs.select(*keep, F.col(text).alias("__text"))
+    read = _text.free("__text", keep)
+    source = docs.select(*keep, F.col(text).alias(read))
     fields = [*(f for f in source.schema.fields if f.name in keep)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_tokens bigint, ids array<int>" + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for part in _text.slices(batches, "__text"):
-            ids, bounds = bpe.encode(part.column(part.schema.get_field_index("__text")).to_pylist())
+        for part in _text.slices(batches, read):
+            ids, bounds = bpe.encode(part.column(part.schema.get_field_index(read)).to_pylist())
             columns = {k: part.column(part.schema.get_field_index(k)) for k in keep}
             columns |= {"n_tokens": pa.array(np.diff(bounds)), "ids": _text.list_array(ids, bounds, pa.int32())}
             if decoded:

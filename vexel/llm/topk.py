@@ -10,7 +10,8 @@ broadcast is bounded; each task returns k rows a query, and a ranked window merg
 Defined results: vectors that are null or hold null or non-finite components, or rows with null id, take no part; ties go to the
 smaller id; rows with the query's id are its own and no candidates; repeated rows with one id count once
 (the least score's row order has no part: the largest score of the id stands); a vector whose length differs from
-the query's is no candidate; other columns are not read; an empty table gives no rows.
+the query's is no candidate; other columns are not read; an empty table gives no rows; very long vectors are taken whole. Scores are exact
+while they fit 64 bits (with 64 components, while all are below 2^18 in magnitude).
 """
 
 from __future__ import annotations
