@@ -1,4 +1,7 @@
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -27,7 +30,7 @@ def test_neighbours_equal_brute_force(terms):
     for _ in range(700):
         t = np.unique((rng.random(rng.integers(1, 30)) ** 3 * terms).astype(int))
         rows.append((t, rng.integers(1, 9, len(t))))
-    ix = toxicity.Index([str(i) for i in range(terms)], 1 + rng.random(terms), np.ones(terms), np.arange(700) * 3, rows, (np.arange(700) % 5 == 0).astype(float), 0.1)
+    ix = toxicity.Index(np.arange(terms, dtype=np.uint64), 1 + rng.random(terms), np.ones(terms), np.arange(700) * 3, rows, (np.arange(700) % 5 == 0).astype(float), 0.1)
     for q in rows[:60]:
         t, w = ix.vector(*q)
         sims, places = ix.nearest(t, w)
@@ -39,7 +42,7 @@ def test_neighbours_equal_brute_force(terms):
 
 def test_ties_go_to_smaller_ids():
     rows = [(np.array([0]), np.array([1]))] * 300
-    ix = toxicity.Index(["a"], np.ones(1), np.ones(1), np.arange(300)[::-1], rows, np.zeros(300), 0.0)
+    ix = toxicity.Index(np.arange(1, dtype=np.uint64), np.ones(1), np.ones(1), np.arange(300)[::-1], rows, np.zeros(300), 0.0)
     sims, places = ix.nearest(np.array([0]), np.array([1.0]))
     assert ix.ids[places].tolist() == list(range(toxicity.NEAREST)) and set(sims) == {1.0}
 
@@ -50,15 +53,15 @@ def test_query_against_brute_force(spark):
     assert {0.0, 1.0} == set(index.labels.tolist())
     got = {r.doc_id: r for r in queries.op2_toxicity(spark, SF).collect()}
     assert len(got) == docs.count()
-    rows = [index.vocabulary.counts(r.text) for r in sorted(docs.join(spark.createDataFrame([(int(i),) for i in index.ids], "doc_id long"), "doc_id").collect(), key=lambda r: r.doc_id)]
+    rows = [index.vocabulary.counts(pa.array([r.text]))[0] for r in sorted(docs.join(spark.createDataFrame([(int(i),) for i in index.ids], "doc_id long"), "doc_id").collect(), key=lambda r: r.doc_id)]
     ids = np.sort(index.ids)
-    vectors = np.zeros((len(ids), len(index.vocabulary.terms)), np.float32)
+    vectors = np.zeros((len(ids), len(index.vocabulary.keys)), np.float32)
     for i, r in enumerate(rows):
         t, w = index.vector(*r)
         vectors[i, t] = w
     hits = both = 0
     for r in docs.orderBy("doc_id").limit(150).collect():
-        t, w = index.vector(*index.vocabulary.counts(r.text))
+        t, w = index.vector(*index.vocabulary.counts(pa.array([r.text]))[0])
         s = np.round(vectors[:, t] @ w, 6)
         best = sorted(zip(-s[s > 0], ids[s > 0]))[: toxicity.NEAREST]
         assert np.allclose(got[r.doc_id].near_sims, [-a for a, _ in best], atol=3e-6)
@@ -89,3 +92,14 @@ def test_defined_cases(spark):
     none = toxicity.train(d, marks.where("false"))
     assert {r.score for r in toxicity.score(d, none).collect()} == {0.0}
     assert toxicity.score(d.where("false"), index).count() == 0
+
+
+def test_terms_are_letter_runs_and_beginnings():
+    texts = ["The cat, the CATS' catalogue!", None, "", "naïve Élan 12 a-b", "1 2 %"]
+    index, words = toxicity.Vocabulary(np.unique(toxicity.terms(pa.array(texts))[0])), 0
+    for t, (at, n) in zip(texts, index.counts(pa.array(texts)), strict=True):
+        runs = re.findall(r"[^\W\d_]+", (t or "").lower())
+        both = runs + [w.encode()[: toxicity.PREFIXES[0]] for w in runs if len(w.encode()) >= toxicity.PREFIXES[0]]
+        assert sorted(n.tolist()) == sorted(both.count(w) for w in set(both)) and (np.diff(at) > 0).all()
+        words += len(set(both))
+    assert words >= 12

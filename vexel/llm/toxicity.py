@@ -1,6 +1,7 @@
 """Operator 2: toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are lower-cased runs of letters and their first `PREFIXES` letters (prefixes stand for the forms of one stem). A
+Terms are lower-cased runs of letters (all characters beyond ASCII count as letters) and their first `PREFIXES` bytes (beginnings stand for
+the forms of one stem), told apart by 64-bit hashes. A
 bounded sample of labelled rows (`EXAMPLES`, half of each label where there are as many, by hash of doc_id and text) is the
 index, each example with its whole vocabulary. Votes weigh an example by how many labelled rows of its label it stands for. A term weighs (1 + log tf) x idf x relevance: the idf counts all
 documents; the relevance, between `LEAST` and 1, is a supervised term weight, the likelihood ratio of term and label in
@@ -20,12 +21,11 @@ other columns are not read, and kept columns that clash with the results' names
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,52 +39,51 @@ LEAST, CHANCE, SURE = 0.02, 10.0, 40.0
 FIRST = 4
 #: Terms of at least this share of the examples have a dense row instead of postings.
 OFTEN = 0.015
-TERM = re.compile(r"[^\W\d_]+")
 #: Texts whose products with the dense rows are made together.
 TOGETHER = 64
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def forms(word: str) -> list[str]:
-    """The terms of a word: itself, and its shorter beginnings marked by a hyphen."""
-    return [word, *(word[:n] + "-" for n in PREFIXES if len(word) >= n)]
-
-
-#: ASCII characters other than letters part words.
-_APART = {i: " " for i in range(128) if not chr(i).isalpha()}
-
-
-def words(text: str) -> list[str]:
-    """The lower-cased runs of letters of a text."""
-    low = text.lower()
-    return low.translate(_APART).split() if low.isascii() else TERM.findall(low)
+def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all terms of the texts, and the row of each."""
+    data, bounds = _text.flat_bytes(pc.utf8_lower(column.cast(pa.large_string()).fill_null("")))
+    starts, ends = _text.runs(_LETTER[data], bounds)
+    lens, row = ends - starts, np.searchsorted(bounds, starts, "right") - 1
+    out, rows = [_text.span_hashes(data, starts, lens)], [row]
+    for n in PREFIXES:
+        some = lens >= n
+        begun = _text.span_hashes(data, starts[some], np.full(int(some.sum()), n))
+        out.append(_text.mix(begun + np.uint64(n)))
+        rows.append(row[some])
+    return np.concatenate(out), np.concatenate(rows)
 
 
 class Vocabulary:
-    """Numbers of known terms."""
+    """Known terms, by the order of their hashes."""
 
-    def __init__(self, terms: list[str]):
-        self.terms = {t: i for i, t in enumerate(terms)}
-        # Beginnings without their hyphen, by length, so that a word's is looked up without making a string of it.
-        self.starts = [{t[:-1]: i for t, i in self.terms.items() if len(t) == n + 1 and t[-1] == "-"} for n in PREFIXES]
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms of a text, ascending, and how often each occurs."""
-        if not text:
+    def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """row x size + number of each known term of each text, ascending, and how often it occurs there."""
+        h, row = terms(column)
+        if not len(self.keys) or not len(h):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found, get = words(text), self.terms.get
-        got = [get(w, -1) for w in found]
-        for n, known in zip(PREFIXES, self.starts, strict=True):
-            get = known.get
-            got += [get(w[:n], -1) for w in found]
-        got = np.sort(np.array(got, np.int64))
-        got = got[np.searchsorted(got, 0) :]
-        first = np.flatnonzero(np.diff(got, prepend=-1))
-        return got[first], np.diff(first, append=len(got))
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        known = self.keys[at] == h
+        return np.unique(row[known] * len(self.keys) + at[known], return_counts=True)
+
+    def counts(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The known terms of each text, ascending, and how often they occur."""
+        key, n = self.numbers(column)
+        cut = np.searchsorted(key, np.arange(len(column) + 1) * len(self.keys))
+        return [(key[a:b] - i * len(self.keys), n[a:b]) for i, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))]
 
 
 class Index:
-    def __init__(self, terms: list[str], idf: np.ndarray, relevance: np.ndarray, ids: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float):
-        self.vocabulary, self.weight, self.prior, n = Vocabulary(terms), idf * relevance, prior, len(rows)
+    def __init__(self, keys: np.ndarray, idf: np.ndarray, relevance: np.ndarray, ids: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float):
+        self.vocabulary, self.weight, self.prior, n = Vocabulary(keys), idf * relevance, prior, len(rows)
         share = float(labels.mean()) if n else 0.0
         #: Labelled rows that an example of each label stands for, relative to the mean.
         self.stands = np.array([(1 - prior) / (1 - share), prior / share]) if 0 < share < 1 else np.ones(2)
@@ -101,19 +100,19 @@ class Index:
         at = np.repeat(np.arange(n), [len(vectors[i][0]) for i in order])
         by = np.argsort(term, kind="stable")
         # Terms of many examples have a dense row, the others postings.
-        often = np.bincount(term, minlength=len(terms)) >= max(n * OFTEN, 1)
+        often = np.bincount(term, minlength=len(keys)) >= max(n * OFTEN, 1)
         self.row = np.where(often, np.cumsum(often) - 1, -1)
         self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK), np.float32)
         mine = often[term]
         self.dense[self.row[term[mine]], at[mine]] = weight[mine]
         by = by[~often[term[by]]]
         self.at, self.w = at[by].astype(np.int32), weight[by].astype(np.float32)
-        key = term[by] * self.blocks + at[by] // BLOCK
-        entry, self.start = np.unique(key, return_index=True)
-        self.size = np.diff(np.append(self.start, len(key)))
+        block = term[by] * self.blocks + at[by] // BLOCK
+        entry, self.start = np.unique(block, return_index=True)
+        self.size = np.diff(np.append(self.start, len(block)))
         self.block = (entry % self.blocks).astype(np.int16 if self.blocks < 1 << 15 else np.int64)
-        self.most = np.maximum.reduceat(self.w, self.start) if len(key) else np.zeros(0)
-        self.first = np.searchsorted(entry // self.blocks, np.arange(len(terms) + 1))
+        self.most = np.maximum.reduceat(self.w, self.start) if len(block) else np.zeros(0)
+        self.first = np.searchsorted(entry // self.blocks, np.arange(len(keys) + 1))
         self.a, self.b = 1.0, 0.0
 
     def vector(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,11 +194,11 @@ class Index:
         p = min(max(p, 1e-4), 1 - 1e-4)
         return float(np.log(p / (1 - p)))
 
-    def score(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    def score(self, column: pa.Array) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """Of each text the score, and the neighbours' similarities and places."""
         out = []
-        for a in range(0, len(texts), TOGETHER):
-            vectors = [self.vector(*self.vocabulary.counts(t)) for t in texts[a : a + TOGETHER]]
+        for a in range(0, len(column), TOGETHER):
+            vectors = [self.vector(*c) for c in self.vocabulary.counts(column.slice(a, TOGETHER))]
             for (t, w), common in zip(vectors, self.products(vectors), strict=True):
                 sims, places = self.nearest(t, w, common=common) if len(t) else (np.zeros(0), np.zeros(0, np.int64))
                 p = self.prior
@@ -223,20 +222,19 @@ def relevance(n: np.ndarray, x: np.ndarray, rows: int, toxic: int) -> np.ndarray
     return LEAST + (1 - LEAST) * np.clip((2 * ratio - CHANCE) / SURE, 0, 1)
 
 
-def fitted(ids: np.ndarray, texts: list[dict[str, int]], labels: np.ndarray, prior: float, frequency, documents: int, calibrate: int = CALIBRATE) -> Index:
-    """An index of examples in hash order, given as term counts. `frequency` gives the documents that hold each of a list of terms."""
-    terms = sorted({t for x in texts for t in x})
-    place = {t: i for i, t in enumerate(terms)}
+def fitted(ids: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, frequency, documents: int, calibrate: int = CALIBRATE) -> Index:
+    """An index of examples in hash order, given as terms and counts. `frequency` gives the documents that hold each of a list of terms."""
+    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in texts)]))
     rows = []
-    for x in texts:
-        t = np.fromiter((place[s] for s in x), np.int64, len(x))
+    for h, n in texts:
+        t = np.searchsorted(keys, h)
         by = np.argsort(t)
-        rows.append((t[by], np.fromiter(x.values(), np.int64, len(x))[by]))
+        rows.append((t[by], n[by]))
     held = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)])
     bad = np.repeat(labels, [len(t) for t, _ in rows])
-    n, x = np.bincount(held, minlength=len(terms)), np.bincount(held, bad, minlength=len(terms))
-    idf = np.log((1 + documents) / (1 + frequency(terms))) + 1
-    index = Index(terms, idf, relevance(n.astype(float), x, len(ids), int(labels.sum())), ids, rows, labels, prior)
+    n, x = np.bincount(held, minlength=len(keys)), np.bincount(held, bad, minlength=len(keys))
+    idf = np.log((1 + documents) / (1 + frequency(keys))) + 1
+    index = Index(keys, idf, relevance(n.astype(float), x, len(ids), int(labels.sum())), ids, rows, labels, prior)
     index.calibrate(rows[:calibrate])
     return index
 
@@ -253,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index
     clean, bad = sizes.get(0, 0), sizes.get(1, 0)
     prior = bad / max(clean + bad, 1)
     if not clean or not bad:
-        return Index([], np.zeros(0), np.zeros(0), np.zeros(0, np.int64), [], np.zeros(0), prior)
+        return Index(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), [], np.zeros(0), prior)
     most = max(examples // 2, examples - bad), max(examples // 2, examples - clean)
     order = F.xxhash64("doc_id", "h"), "doc_id", "h"
     parts = [marked.where(F.col("toxic") == y).orderBy(*order).limit(most[y]) for y in (0, 1)]
@@ -263,28 +261,32 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index
     texts = rows.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _text.slices(batches, "text"):
-            made = [Counter(f for w in words(t) for f in forms(w)) for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "h": part.column(1), "terms": pa.array([list(c) for c in made], pa.list_(pa.string())), "n": pa.array([list(c.values()) for c in made], pa.list_(pa.int32()))})
+        for part in _text.slices(batches, "text", 1 << 20):
+            h, row = terms(part.column(2))
+            by = np.lexsort((h, row))
+            first = np.flatnonzero((np.diff(row[by], prepend=-1) != 0) | (np.diff(h[by], prepend=h[by[:1]]) != 0))
+            cut = np.searchsorted(row[by][first], np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "h": part.column(1), "terms": _text.list_array(h[by][first].view(np.int64), cut, pa.int64()), "n": _text.list_array(np.diff(first, append=len(by)).astype(np.int32), cut, pa.int32())})
 
-    counted = {(d, h): dict(zip(t, n)) for d, h, t, n in zip(*(c.to_pylist() for c in texts.mapInArrow(count, "doc_id bigint, h bigint, terms array<string>, n array<int>").toArrow().columns), strict=True)}
+    made = texts.mapInArrow(count, "doc_id bigint, h bigint, terms array<bigint>, n array<int>").toArrow()
+    counted = {(d.as_py(), h.as_py()): (t.values.to_numpy().view(np.uint64), n.values.to_numpy()) for d, h, t, n in zip(*made.columns, strict=True)}
 
-    def frequency(terms: list[str]) -> np.ndarray:
+    def frequency(keys: np.ndarray) -> np.ndarray:
         """Over all documents: each task adds up its own, and sends one row a term at most."""
-        shared = spark.sparkContext.broadcast(Vocabulary(terms))  # of the sample alone: bounded
+        shared = spark.sparkContext.broadcast(keys)  # of the sample alone: bounded
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            sums = np.zeros(len(known.terms), np.int64)
-            for part in _text.slices(batches, "text"):
-                for text in part.column(0).to_pylist():
-                    sums[known.counts(text)[0]] += 1
+            known = Vocabulary(shared.value)
+            sums = np.zeros(len(known.keys), np.int64)
+            for part in _text.slices(batches, "text", 1 << 20):
+                sums += np.bincount(known.numbers(part.column(0))[0] % max(len(sums), 1), minlength=len(sums))
             some = np.flatnonzero(sums)
             for a in range(0, len(some), 50_000):
                 yield pa.RecordBatch.from_pydict({"t": some[a : a + 50_000], "n": sums[some[a : a + 50_000]]})
+            _text.trim()
 
         sums = rows.select("text").mapInArrow(add, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros(len(terms))
+        out = np.zeros(len(keys))
         out[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
         return out
 
@@ -299,13 +301,14 @@ def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",), na
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        for part in _text.slices(batches, read):
-            got = ix.score(part.column(part.schema.get_field_index(read)).to_pylist())
+        for part in _text.slices(batches, read, 2 << 20):
+            got = ix.score(part.column(part.schema.get_field_index(read)))
             columns = {k: part.column(part.schema.get_field_index(k)) for k in keep}
             columns[names[0]] = pa.array([s for s, _, _ in got], pa.float64())
             columns[names[1]] = pa.array([ix.ids[p] for _, _, p in got], pa.list_(pa.int64()))
             columns[names[2]] = pa.array([s for _, s, _ in got], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_pydict(columns)
+        _text.trim()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep) + f", `{names[0]}` double, `{names[1]}` array<bigint>, `{names[2]}` array<double>"
     return source.mapInArrow(run, schema)
