@@ -2,47 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import store
+from ..store import dropped, shared_folder
+
+__all__ = ["dropped", "new_path", "saved", "shared_folder"]
 
 #: Rows in an Arrow batch while a table is written: whole texts and sets of shingles pass in small parts.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one of ours only where none is set and all runs in one process, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='vexel-')}"
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/vexel-{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: cuts the lineage, outlives lost executors."""
+    """`store.saved` in small Arrow batches."""
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(BATCH)
+    before = spark.conf.get(BATCH)
     spark.conf.set(BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
     try:
-        df.write.parquet(path)
+        return store.saved(df, name)
     finally:
         spark.conf.set(BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table that `saved` made and nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/vexel-" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

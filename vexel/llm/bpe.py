@@ -271,13 +271,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for part in _text.slices(batches, read):
+        for part in _text.slices(batches, read, 2 << 20):
             ids, bounds = bpe.encode(part.column(part.schema.get_field_index(read)).to_pylist())
             columns = {k: part.column(part.schema.get_field_index(k)) for k in keep}
             columns |= {"n_tokens": pa.array(np.diff(bounds)), "ids": _text.list_array(ids, bounds, pa.int32())}
             if decoded:
                 columns["decoded"] = _text.string_array(*bpe.decode(ids, bounds)).cast(pa.string())
             yield pa.RecordBatch.from_pydict(columns)
+        _text.trim()
 
     return source.mapInArrow(run, schema)
 

@@ -149,6 +149,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             sigs = iter(signatures(some) if some else [])
             keys = [key(s) for s in sets]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "h": part.column(1), "k1": pa.array([k for k, _ in keys], pa.int64()), "k2": pa.array([k for _, k in keys], pa.int64()), "sig": pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary())})
+        _text.trim()
 
     return rows.mapInArrow(run, "doc_id bigint, h bigint, k1 bigint, k2 bigint, sig binary")
 

@@ -89,7 +89,7 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.where("text is not null and text != ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _text.slices(batches, "text", 2 << 20):
+        for part in _text.slices(batches, "text", 1 << 20):
             names, docs_, hs, firsts, sizes = [], [], [], [], []
             for i, text in enumerate(part.column(2).to_pylist()):
                 name, first, size = least_runs(text, min_words)
@@ -100,6 +100,7 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             at = pa.array(np.concatenate(docs_))
             both = np.concatenate(names, axis=1).view(np.int64)
             yield pa.RecordBatch.from_pydict({"a": both[0], "b": both[1], "doc_id": part.column(0).take(at), "h": part.column(1).take(at), "first": np.concatenate(firsts).astype(np.int32), "size": np.concatenate(sizes).astype(np.int32)})
+        _text.trim()
 
     runs = _store.saved(rows.mapInArrow(run, "a bigint, b bigint, doc_id bigint, h bigint, first int, size int"), "runs")
     place = F.struct("doc_id", "h", "first")

@@ -200,11 +200,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, length:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(tokenizer)
-        for b in _text.slices(batches, "text"):
+        for b in _text.slices(batches, "text", 2 << 20):
             ids, bounds = bpe.encode(b.column(2).to_pylist())
             ids = np.insert(ids, bounds[1:], end_id).astype(bpe.dtype)
             data, at = ids.view(np.uint8), (bounds + np.arange(len(bounds))) * bpe.dtype.itemsize
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "h": b.column(1), "ids": pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary()), "part": part_of(b.column(0), b.column(1), bounds_)})
+        _text.trim()
 
     # The ranges are known beforehand, so that no text is encoded twice to sample them, and only ids are moved.
     rows = source.mapInArrow(encode, "doc_id bigint, h bigint, ids binary, part int")
