@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -42,12 +43,16 @@ class GraphIndex:
         self.metric, self.degree, self.n = metric, min(degree, MAX_DEGREE), vectors.where("vec is not null").count()
         vec = normalized("vec") if metric == Metric.COSINE else F.col("vec").cast("array<double>")
         self.vectors = vectors.where("vec is not null").select(F.col("id").cast("long").alias("id"), vec.alias("vec"))
-        self.vectors = store.saved(self.vectors, "vectors")
-        self.seeds = None
-        near = self._near(knn_cache, nprobe)
+        self.reverse, self.nprobe, self.cache, self.seeds = reverse, nprobe, knn_cache, None
+
+    @cached_property
+    def forward(self) -> DataFrame:
+        """Pruned edges (src, slot, dst, kind), made at first use and written: the neighbours of all rows are the dear
+        part, and degrees, reverse edges and searches read them."""
+        near = self._near(self.cache, self.nprobe)
         other = self.vectors.select("id", F.col("vec").alias("v"))
         rows = near.join(other, "id").join(self.vectors.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id")
-        r, m = self.degree, metric
+        r, m = self.degree, self.metric
 
         def prune(part: pd.DataFrame) -> pd.DataFrame:
             """A candidate goes when one kept before is nearer to it than the node is."""
@@ -60,9 +65,12 @@ class GraphIndex:
                     kept.append(i)
             return pd.DataFrame({"src": part["query_id"].to_numpy()[kept], "slot": np.arange(len(kept), dtype=np.int32), "dst": part["id"].to_numpy()[kept], "kind": "forward"})
 
-        # Written once: the neighbours of all rows are the dear part, and degrees, reverse edges and searches read them.
-        self.forward = store.saved(rows.groupBy("query_id").applyInPandas(prune, "src bigint, slot int, dst bigint, kind string"), "forward")
-        self.edges = store.saved(self.forward.unionByName(self._reverse()), "edges") if reverse else self.forward
+        return store.saved(rows.groupBy("query_id").applyInPandas(prune, "src bigint, slot int, dst bigint, kind string"), "forward")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """All edges, forward ones first in a node's slots; written at first use."""
+        return store.saved(self.forward.unionByName(self._reverse()), "edges") if self.reverse else self.forward
 
     def _near(self, cache: str | None, nprobe: int) -> DataFrame:
         """The nearest others of all rows; from the cache folder if it was made of as many rows and neighbours, else written there."""
