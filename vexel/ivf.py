@@ -17,6 +17,10 @@ from .status import check_build, require
 SEED, PER_CENTROID, SUB, OPQ_SAMPLE = 12345, 256, 256, 65_536
 #: Training rows that may meet on the driver, and cells that have a folder each.
 DRIVER_ROWS, FOLDERS = 65_536, 4096
+#: Scores made at a time by an assignment or a rerank: 1 MB, which stays in a CPU's cache, and as much for each step of a formula.
+TILE = 1 << 17
+#: Pairs scored exactly at a time.
+PAIRS = 1 << 14
 
 
 def sampled(vectors: DataFrame, n: int, of: int) -> DataFrame:
@@ -30,14 +34,17 @@ def sampled(vectors: DataFrame, n: int, of: int) -> DataFrame:
 
 
 def sample(vectors: DataFrame, n: int) -> np.ndarray:
-    """At most n rows on the driver, in an order that depends on the seed and id alone."""
+    """At most n rows on the driver, in an order that depends on the seed and id alone; without those that aren't finite,
+    which would spoil every mean (a row of zeros if all are such)."""
     rows = vectors.orderBy(F.md5(F.concat_ws(":", F.lit(SEED), "id")), "id").limit(n).select("vec").toArrow()
-    return search.matrix(rows.column(0).combine_chunks().cast(pa.list_(rows.schema.field(0).type.value_type)))
+    x = search.matrix(rows.column(0).combine_chunks().cast(pa.list_(rows.schema.field(0).type.value_type)))
+    good = np.isfinite(x).all(axis=1)
+    return x if good.all() else x[good] if good.any() else np.zeros((1, x.shape[1]))
 
 
 def assign(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Nearest centroid, ties to the lowest."""
-    step = max(1, (1 << 24) // max(len(centroids), 1))
+    step = max(1, TILE // max(len(centroids), 1))
     parts = [scores(Metric.L2, x[a : a + step], centroids).argmax(axis=1) for a in range(0, len(x), step)]
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
@@ -49,8 +56,7 @@ def kmeans(x: np.ndarray, k: int, iters: int = 12) -> np.ndarray:
     for _ in range(iters):
         cell = assign(x, c)
         n = np.bincount(cell, minlength=k)
-        total = np.zeros_like(c)
-        np.add.at(total, cell, x)
+        total = np.stack([np.bincount(cell, part, k) for part in x.T], axis=1)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], x[rng.integers(0, len(x), k)])
         c = c.astype(np.float32).astype(np.float64)
     return c
@@ -72,6 +78,7 @@ def kmeans_table(rows: DataFrame, k: int, iters: int = 12) -> np.ndarray:
             for b in batches:
                 if b.num_rows:
                     x = search.matrix(b.column(0), c.shape[1])
+                    x = x[np.isfinite(x).all(axis=1)]
                     cell = assign(x, c)
                     n += np.bincount(cell, minlength=len(c))
                     np.add.at(total, cell, x)
@@ -194,8 +201,53 @@ def decode(codes: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.concatenate([book[i][codes[:, i]] for i in range(len(book))], axis=1)
 
 
+def possible(s: np.ndarray, slack: np.ndarray, k: int) -> np.ndarray:
+    """Which entries may be among the k best of their row, each known to within its slack (NaN: not known at all)."""
+    if s.shape[1] <= k:
+        return np.ones(s.shape, bool)
+    low = s - slack
+    low[np.isnan(low)] = -np.inf
+    return ~(s + slack < np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k][:, None])
+
+
+def exact(metric: Metric, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Scores of pairs of rows, added up component by component as `metric.score` does."""
+    s = np.zeros(len(q))
+    for a, b in zip(q.T, x.T, strict=True):
+        s += (a - b) * (a - b) if metric == Metric.L2 else a * b
+    return -s if metric == Metric.L2 else s
+
+
+def reranked(metric: Metric, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A `search.scan` pick over rows of decoded code and vector side by side: the k best by the exact score of the vectors, ties to
+    the smaller id. The scores of codes with their known errors, then those of a matrix product, tell which rows can't be among these."""
+    dim = q.shape[1]
+    good = np.flatnonzero(np.isfinite(x[:, dim:]).all(axis=1))  # others have no score that ranks
+    code, vec, ids = x[good, :dim], x[good, dim:], ids[good]
+    error, size = np.sqrt(((vec - code) ** 2).sum(axis=1)), np.sqrt((vec * vec).sum(axis=1))
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, TILE // max(len(good), 1))
+    for at in range(0, len(q) if len(good) else 0, step):
+        some = q[at : at + step]
+        norm = np.sqrt((some * some).sum(axis=1))[:, None]
+        rounding = 1e-14 * dim * (norm + size + error) ** 2
+        s = scores(metric, some, code)
+        off = error * (2 * np.sqrt(-s) + 2 * np.sqrt(rounding) + error) if metric == Metric.L2 else norm * error
+        near = possible(s, off + rounding, k) & np.isfinite(some).all(axis=1)[:, None]
+        i, j = np.nonzero(near & possible(np.where(near, scores(metric, some, vec), -np.inf), rounding, k))
+        s = np.concatenate([np.zeros(0), *(exact(metric, some[i[a : a + PAIRS]], vec[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS))])
+        order = np.lexsort((ids[j], -s, i))
+        order = order[s[order] > -np.inf]
+        first = np.searchsorted(i[order], i[order])
+        order = order[np.arange(len(order)) - first < k]
+        out.append((at + i[order], good[j[order]], s[order]))
+    i, j, s = map(np.concatenate, zip(*out, strict=True))
+    return i, j, s
+
+
 class IvfPqIndex:
-    """Rows as codes of m bytes, written by cell. The distance without rerank is an approximate squared L2, also under COSINE."""
+    """Rows as codes of m bytes and, unless told otherwise, their vectors, written by cell. The distance without rerank is an
+    approximate squared L2, also under COSINE. A rerank of all rows is done where the codes are read; a shorter list is joined with the vectors."""
 
     def __init__(self, vectors: DataFrame, metric: Metric = Metric.L2, nlist: int = 64, m: int = 8, residual: bool = True, opq: bool = False, keep_vectors: bool = True):
         check_build(vectors, nlist=nlist, m=m)
@@ -211,25 +263,28 @@ class IvfPqIndex:
         self.nlist = max(1, min(nlist, self.n))
         if not self.n:
             self.centroids, self.book = np.zeros((0, 0)), np.zeros((m, SUB, 0))
-            self.codes = vectors.sparkSession.createDataFrame([], "id bigint, cell int, code binary")
+            self.rows = self.codes = vectors.sparkSession.createDataFrame([], "id bigint, cell int, code binary")
             return
         # Cells from as many rows as an IvfIndex takes, in the rotated space; codebooks from the sample.
         self.centroids = trained(self.full, self.n, self.nlist, 12, True) @ self.r.T if PER_CENTROID * self.nlist > len(rows) else kmeans(rows[: PER_CENTROID * self.nlist], self.nlist)
         cell = assign(rows, self.centroids)
         self.book = train_codes(rows - self.centroids[cell] if residual else rows, m)
-        self.codes = store.saved_by(self._coded(), "codes", "cell", self.nlist <= FOLDERS)
+        self.rows = store.saved_by(self._coded(), "codes", "cell", self.nlist <= FOLDERS)
+        self.codes = self.rows.select("id", "cell", "code")
 
     def _coded(self) -> DataFrame:
-        r, centroids, book, residual = self.r, self.centroids, self.book, self.residual
+        r, centroids, book, residual, kept = self.r, self.centroids, self.book, self.residual, self.kept
+        kind = self.full.schema["vec"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x = search.matrix(b.column(1), len(r)) @ r.T if b.num_rows else np.zeros((0, len(r)))
                 cell = assign(x, centroids)
                 code = encode(x - centroids[cell] if residual else x, book)
-                yield pa.RecordBatch.from_pydict({"id": b.column(0), "cell": cell.astype(np.int32), "code": pa.array([c.tobytes() for c in code], pa.binary())})
+                coded = {"id": b.column(0), "cell": cell.astype(np.int32), "code": pa.array([c.tobytes() for c in code], pa.binary())}
+                yield pa.RecordBatch.from_pydict(coded | ({"vec": b.column(1)} if kept else {}))
 
-        return self.full.mapInArrow(run, "id bigint, cell int, code binary")
+        return self.full.mapInArrow(run, "id bigint, cell int, code binary" + f", vec {kind}" * kept)
 
     def search(self, queries: DataFrame, k: int = 10, nprobe: int = 8, rerank: int = 0) -> DataFrame:
         r, centroids, book, residual = self.r, self.centroids, self.book, self.residual
@@ -245,6 +300,14 @@ class IvfPqIndex:
 
         n = min(max(nprobe, 1), self.nlist)
         near = lambda q: np.argsort(-scores(Metric.L2, q @ r.T, centroids), axis=1, kind="stable")[:, :n]
+        if again and rerank >= self.n:  # every row of the probed cells is on the list: none need meet to be cut
+
+            def both(b: pa.RecordBatch, dim: int) -> np.ndarray:
+                return np.concatenate([unpack(b, dim), search.matrix(b.column(b.schema.get_field_index("vec")), dim)], axis=1)
+
+            unit = queries.withColumn("vec", normalized("vec")) if self.metric == Metric.COSINE else queries
+            # L2 leaves the queries as they are.
+            return search.scan(self.rows, unit, Metric.L2, k, both, near, self.metric, reranked)
         short = search.scan(self.codes, queries, self.metric, min(rerank, self.n) if again else k, unpack, near, Metric.L2)
         if not again:
             return short
@@ -254,9 +317,7 @@ class IvfPqIndex:
 
     def save(self, path: str) -> None:
         meta = {"metric": int(self.metric), "n": self.n, "nlist": self.nlist, "asked": self.asked, "m": self.m, "residual": self.residual, "kept": self.kept}
-        files.write(self.codes, path, "ivfpq", meta, {"centroids": self.centroids, "book": self.book, "r": self.r}, by="cell")
-        if self.kept:
-            self.full.write.parquet(f"{path}/full")
+        files.write(self.rows, path, "ivfpq", meta, {"centroids": self.centroids, "book": self.book, "r": self.r}, by="cell")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> IvfPqIndex:
@@ -266,8 +327,10 @@ class IvfPqIndex:
             setattr(out, name, meta[name])
         out.metric, out.errors, out.told = Metric(meta["metric"]), [], set()
         out.centroids, out.book, out.r = arrays["centroids"], arrays["book"], arrays["r"]
-        out.codes = rows.select("id", "cell", "code")
-        out.full = spark.read.parquet(f"{path}/full") if out.kept else None
+        if out.kept and "vec" not in rows.columns:  # a folder of an earlier version
+            rows = rows.join(spark.read.parquet(f"{path}/full"), "id")
+        out.rows, out.codes = rows, rows.select("id", "cell", "code")
+        out.full = rows.select("id", "vec") if out.kept else None
         return out
 
 

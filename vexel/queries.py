@@ -138,7 +138,8 @@ def ivfpq_rerank_full(spark, sf_dir, ask=asked):
 
 def opq_rerank_full(spark, sf_dir, ask=asked):
     v = vectors(spark, sf_dir, True)
-    return rounded(IvfPqIndex(v, Metric.COSINE, nlist=8, opq=True).search(ask(v), nprobe=8, rerank=1 << 20))
+    index = IvfPqIndex(v, Metric.COSINE, nlist=8, opq=True)
+    return rounded(index.search(ask(v), nprobe=8, rerank=max(1 << 20, index.n)))
 
 
 def graph_medoid(spark, sf_dir):

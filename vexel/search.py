@@ -53,16 +53,23 @@ def query_runs(queries: DataFrame, metric: Metric) -> Iterator[tuple[np.ndarray,
             yield np.array([r.query_id for r in rows], np.int64), unit_rows(q) if metric == Metric.COSINE else q
 
 
-def best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the k best of each row of s, ties of the k-th all kept."""
     s = np.where(np.isnan(s), -np.inf, s)
     least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None] if s.shape[1] > k else -np.inf
     return np.nonzero((s >= least) & (s > -np.inf))
 
 
-def scan(rows: DataFrame, queries: DataFrame, metric: Metric, k: int, unpack: Callable[[pa.RecordBatch, int], np.ndarray] | None = None, probes: Callable[[np.ndarray], np.ndarray] | None = None, code_metric: Metric | None = None) -> DataFrame:
+def nearest(metric: Metric, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and score of the k best rows of x (of these ids) for each query."""
+    s = scores(metric, q, x)
+    i, j = best(s, k)
+    return i, j, s[i, j]
+
+
+def scan(rows: DataFrame, queries: DataFrame, metric: Metric, k: int, unpack: Callable[[pa.RecordBatch, int], np.ndarray] | None = None, probes: Callable[[np.ndarray], np.ndarray] | None = None, code_metric: Metric | None = None, pick: Callable = nearest) -> DataFrame:
     """The k best rows of each query. With `probes` (query matrix to its cells) a row counts only in a probed `cell`, and
-    cells that no query of a run probes aren't read."""
+    cells that no query of a run probes aren't read. `pick` finds the k best rows of a tile."""
     spark, out = rows.sparkSession, None
     unpack = unpack or (lambda b, dim: matrix(b.column(b.schema.get_field_index("vec")), dim))
     used = code_metric if code_metric is not None else metric
@@ -90,9 +97,8 @@ def scan(rows: DataFrame, queries: DataFrame, metric: Metric, k: int, unpack: Ca
                 for of, group in groups:
                     step = max(TILE_ROWS, TILE_BYTES // 8 // len(of))
                     for at in (group[a : a + step] for a in range(0, len(group), step)):
-                        s = scores(used, q[of], x[at])
-                        i, j = best(s, row[at], k)
-                        yield pa.RecordBatch.from_pydict({"query_id": ids[of[i]], "id": row[at[j]], "score": s[i, j]})
+                        i, j, s = pick(used, q[of], x[at], row[at], k)
+                        yield pa.RecordBatch.from_pydict({"query_id": ids[of[i]], "id": row[at[j]], "score": s})
 
         got = read.mapInArrow(run, "query_id bigint, id bigint, score double")
         out = got if out is None else out.unionByName(got)
