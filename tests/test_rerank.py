@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from vexel import ivf
 from vexel.ivf import IvfPqIndex
 from vexel.metric import Metric
@@ -70,3 +71,14 @@ def test_bounds_lose_no_row():
             want = -((q[:, None] - vec) ** 2).sum(axis=2) if metric == Metric.L2 else q @ vec.T
             assert len(i) == 300 and np.allclose(s, want[i, j])
             assert [set(j[i == a]) for a in range(30)] == [set(np.argsort(-w)[:10]) for w in want]
+
+
+@pytest.mark.parametrize("name", ["ivfpq_rerank_full_due", "opq_rerank_full_due"])
+def test_queries_rank_a_few_rows_of_each_tile(spark, tmp_path, monkeypatch, name):
+    rows = [(i, [float(a) for a in RNG.normal(size=8)]) for i in range(2500)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = []
+    monkeypatch.setattr(ivf.search, "ranked", lambda pairs, *a, f=ivf.search.ranked: made.append(pairs) or f(pairs, *a))
+    assert entry.queries()[name](spark, str(tmp_path)).count() == 250
+    # 25 queries, 8 cells, 10 rows; all pairs are 62,500, once for the list and once for the rerank.
+    assert len(made) == 1 and made[0].count() <= 25 * 8 * 10 * 4

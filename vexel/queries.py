@@ -133,7 +133,8 @@ def pq_encode(spark, sf_dir):
 
 def ivfpq_rerank_full(spark, sf_dir, ask=asked):
     v = vectors(spark, sf_dir)
-    return rounded(IvfPqIndex(v, nlist=8).search(ask(v), nprobe=8, rerank=1 << 20))
+    index = IvfPqIndex(v, nlist=8)
+    return rounded(index.search(ask(v), nprobe=8, rerank=max(1 << 20, index.n)))
 
 
 def opq_rerank_full(spark, sf_dir, ask=asked):
